@@ -32,3 +32,7 @@ def test_alignment_tells_slots_from_names(spark):
 def test_titles(spark):
     titles = ["AW: [[Thema]]", "HTTP 500 Internal Server Error", "Neuer Titel (Platzhalter)", "HTTP 503 bei Inventa seit 3:04", "JavaScript im Browser deaktivieren?", "Variable {USER} im Loginskript falsch", "Platzhalter in der Angebotsvorlage", None, ""]
     assert found(spark, titles, title=True) == {0, 1, 2}
+
+
+def test_copies_of_one_template_count(spark):
+    assert found(spark, ["Hallo {{first_name}},\n\nder Termin steht."] * 40 + ["Guten Tag.", "Der Platzhalter {{name}} bleibt leer."]) == set(range(40))

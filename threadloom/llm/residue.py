@@ -32,6 +32,8 @@ DEFAULT = re.compile(r"insert\b.*\bhere|hier (?:einfügen|eingeben|eintragen)|go
 IDENTIFIER = re.compile(r"[^\W\d_]+(?:[._-][^\W_]+)+$|[^\W\d_]{2,}$|[^\W\d_]+[A-ZÄÖÜ][^\W_]*$")
 NOT_SLOTS = frozenset("at dot ät punkt sic info warn warning error debug fatal trace notice".split())
 MENTION = re.compile(r"vorlage|template|variable|skript|script|platzhalter|placeholder|\bprints?\b|korrigier|ergänz|ersetz|druckbild|agentur|carta tipo|plantilla|modèle|lettre type|statt des|instead of|fehlt im|serienbrief|steht immer noch|entwurf|\bdraft\b|betreff steht|field shows|feld zeigt|le champ|el campo|brouillon|borrador", re.I)
+#: Questions about a placeholder, rather than ones that hold it.
+ASKS = re.compile(r"\b(?:wieso|weshalb|warum|was (?:ist|bedeutet|soll|heißt)|wofür steht|why|what (?:is|does|do)|pourquoi|que signifie|por qué|qué (?:es|significa))\b.*\?\s*$", re.I)
 TITLE_PREFIX = re.compile(r"(?:(?:AW|WG|RE|FW|FWD|SV|ANTW|TR|RV)\s*:\s*|\[Ticket#\d+\]\s*|\[Suspected \w+\]\s*|Automatische Antwort:\s*)+", re.I)
 
 STATUS = r"(?:Bad Gateway|Not Found|Forbidden|(?:Internal )?Server Error|Service (?:Temporarily )?Unavailable|Gateway Time-?out|Bad Request|Unauthorized|Too Many Requests|Request Time-?out)"
@@ -148,7 +150,8 @@ def slots(text: str) -> list[tuple[str, str, bool]]:
         matches = [m for m in PLACEHOLDER.finditer(sentence) if _is_slot(m, sentence)]
         if not matches:
             continue
-        mention = MENTION.search(PLACEHOLDER.sub(" ", sentence)) is not None
+        rest = PLACEHOLDER.sub(" ", sentence)
+        mention = MENTION.search(rest) is not None or ASKS.search(rest) is not None
         for m in matches:
             left = PLACEHOLDER.sub("⟨⟩", sentence[: m.start()]).lower().split()[-3:]
             right = PLACEHOLDER.sub("⟨⟩", sentence[m.end() :]).lower().split()[:3]
@@ -232,8 +235,8 @@ def with_signals(df: DataFrame, text: str, kind: str | None = None, title: bool
 def residue(records: DataFrame, keys: list[str], column: str = "signals", least_repeats: int = 3) -> DataFrame:
     """The distinct keys of records that are template residue, filler or error pages.
 
-    ``records`` has the signals of every record. Skeletons and shapes are counted over all of them: a skeleton's place
-    is a slot if it has several fillers (or one, and no word that speaks of templates, when it is rare). Records
+    ``records`` has the signals of every record. Shapes are counted over all of them. What looks like a placeholder is an
+    unfilled slot, however often it occurs, unless a sentence with its skeleton speaks of templates or asks about it. Records
     without signals never come out; an empty table gives no rows.
     """
     seen = cut(records.where(F.col(column).isNotNull()).select(*keys, f"{column}.*").distinct())
@@ -242,10 +245,7 @@ def residue(records: DataFrame, keys: list[str], column: str = "signals", least_
     repeated = weak.groupBy("shape").agg(F.count("*").alias("n")).where(F.col("n") >= least_repeats).select("shape")
     pages = weak.join(repeated, "shape", "left_semi").select(*keys)
     slot = seen.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.*")
-    fillers = slot.groupBy("skeleton", "filler").agg(F.count("*").alias("n"), F.max(F.col("mention").cast("int")).alias("mention"))
-    stats = fillers.groupBy("skeleton").agg(F.count("*").alias("kinds"), F.sum("n").alias("uses"), F.max("mention").alias("named"))
-    # many uses of few fillers name a placeholder; several fillers show a slot that nobody filled
-    varied = (F.col("kinds") >= 3) & (F.col("kinds") >= 0.1 * F.col("uses"))
-    open_slot = F.when(F.col("named") == 1, F.lit(False)).when(F.col("uses") >= 8, varied).otherwise(F.lit(True))
-    unfilled = slot.join(stats.where(open_slot).select("skeleton"), "skeleton", "left_semi").where(~F.col("mention")).select(*keys)
+    fillers = slot.groupBy("skeleton", "filler").agg(F.max(F.col("mention").cast("int")).alias("mention"))
+    stats = fillers.groupBy("skeleton").agg(F.max("mention").alias("named"))
+    unfilled = slot.join(stats.where("named = 0").select("skeleton"), "skeleton", "left_semi").select(*keys)
     return strong.unionByName(pages).unionByName(unfilled).distinct()
