@@ -36,3 +36,8 @@ def test_titles(spark):
 
 def test_copies_of_one_template_count(spark):
     assert found(spark, ["Hallo {{first_name}},\n\nder Termin steht."] * 40 + ["Guten Tag.", "Der Platzhalter {{name}} bleibt leer."]) == set(range(40))
+
+
+def test_one_report_vetoes_no_other_record(spark):
+    texts = ["Ihr Gerät {{device}} wurde ersetzt."] * 3 + ["Im Entwurf steht: Ihr Gerät {{device}} wurde ersetzt, bitte Vorlage prüfen."] + ["Ihr Vorgang {{nr}} ist neu im System."] * 3 + ["Ihr Vorgang {{nr}} ist neu im Template."]
+    assert found(spark, texts) == {0, 1, 2, 4, 5, 6}

@@ -1,9 +1,7 @@
 """Template residue, filler and error pages.
 
-Sentences with something that looks like a placeholder are aligned with those of other records: what surrounds it is
-the skeleton, what is in it the filler. Where records with the same skeleton carry different fillers, the place is a
-slot that was never filled; where they all carry the same one, it is text that names a placeholder. Skeletons too rare
-to tell are decided by whether their sentence speaks of templates or scripts. Whole texts are matched, line by line,
+Something that looks like a placeholder is an unfilled slot unless its own sentence speaks of templates or scripts or
+asks about it; other records have no say in that. Whole texts are matched, line by line,
 with the vocabulary of error pages, notices and filler; pages with only weak words count if they are repeated.
 """
 
@@ -31,7 +29,7 @@ MARKS = re.compile(r"\{(?!margin)[{%A-Za-z]|[$#]\{|<%|\[(?!at\]|dot\])[\[A-Za-z]
 DEFAULT = re.compile(r"insert\b.*\bhere|hier (?:einfügen|eingeben|eintragen)|goes here|(?:vor|first ?)name,? (?:nach|last ?)name|your (?:name|text)|enter .* here", re.I)
 IDENTIFIER = re.compile(r"[^\W\d_]+(?:[._-][^\W_]+)+$|[^\W\d_]{2,}$|[^\W\d_]+[A-ZÄÖÜ][^\W_]*$")
 NOT_SLOTS = frozenset("at dot ät punkt sic info warn warning error debug fatal trace notice".split())
-MENTION = re.compile(r"vorlage|template|variable|skript|script|platzhalter|placeholder|\bprints?\b|korrigier|ergänz|ersetz|druckbild|agentur|carta tipo|plantilla|modèle|lettre type|statt des|instead of|fehlt im|serienbrief|steht immer noch|entwurf|\bdraft\b|betreff steht|field shows|feld zeigt|le champ|el campo|brouillon|borrador", re.I)
+MENTION = re.compile(r"vorlage|template|variable|skript|script|platzhalter|placeholder|\bprints?\b|druckbild|agentur|carta tipo|plantilla|modèle|lettre type|statt des|instead of|fehlt im|serienbrief|steht immer noch|entwurf|\bdraft\b|betreff steht|field shows|feld zeigt|le champ|el campo|brouillon|borrador", re.I)
 #: Questions about a placeholder, rather than ones that hold it.
 ASKS = re.compile(r"\b(?:wieso|weshalb|warum|was (?:ist|bedeutet|soll|heißt)|wofür steht|why|what (?:is|does|do)|pourquoi|que signifie|por qué|qué (?:es|significa))\b.*\?\s*$", re.I)
 TITLE_PREFIX = re.compile(r"(?:(?:AW|WG|RE|FW|FWD|SV|ANTW|TR|RV)\s*:\s*|\[Ticket#\d+\]\s*|\[Suspected \w+\]\s*|Automatische Antwort:\s*)+", re.I)
@@ -236,7 +234,7 @@ def residue(records: DataFrame, keys: list[str], column: str = "signals", least_
     """The distinct keys of records that are template residue, filler or error pages.
 
     ``records`` has the signals of every record. Shapes are counted over all of them. What looks like a placeholder is an
-    unfilled slot, however often it occurs, unless a sentence with its skeleton speaks of templates or asks about it. Records
+    unfilled slot, however often it occurs, unless its own sentence speaks of templates or asks about it. Records
     without signals never come out; an empty table gives no rows.
     """
     seen = cut(records.where(F.col(column).isNotNull()).select(*keys, f"{column}.*").distinct())
@@ -245,7 +243,5 @@ def residue(records: DataFrame, keys: list[str], column: str = "signals", least_
     repeated = weak.groupBy("shape").agg(F.count("*").alias("n")).where(F.col("n") >= least_repeats).select("shape")
     pages = weak.join(repeated, "shape", "left_semi").select(*keys)
     slot = seen.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.*")
-    fillers = slot.groupBy("skeleton", "filler").agg(F.max(F.col("mention").cast("int")).alias("mention"))
-    stats = fillers.groupBy("skeleton").agg(F.max("mention").alias("named"))
-    unfilled = slot.join(stats.where("named = 0").select("skeleton"), "skeleton", "left_semi").select(*keys)
+    unfilled = slot.where(~F.col("mention")).select(*keys)
     return strong.unionByName(pages).unionByName(unfilled).distinct()
