@@ -41,3 +41,10 @@ def test_copies_of_one_template_count(spark):
 def test_one_report_vetoes_no_other_record(spark):
     texts = ["Ihr Gerät {{device}} wurde ersetzt."] * 3 + ["Im Entwurf steht: Ihr Gerät {{device}} wurde ersetzt, bitte Vorlage prüfen."] + ["Ihr Vorgang {{nr}} ist neu im System."] * 3 + ["Ihr Vorgang {{nr}} ist neu im Template."]
     assert found(spark, texts) == {0, 1, 2, 4, 5, 6}
+
+
+def test_long_pages_and_signed_filler(spark):
+    blind = "Dies ist ein Blindtext. " * 400
+    quoted = "502 Bad Gateway\n\nAm 02.02.2022 um 17:05 schrieb Urs Brask <u@post.example>:\n" + "> Die Waage hängt seit dem Umzug.\n" * 300
+    mash = "tuwptj flfq öipuqöirl\n\nMit freundlichen Grüßen\nJana Stein"
+    assert found(spark, [blind, quoted, mash, "Das ist normal.\n" * 100]) == {0, 1, 2}

@@ -8,9 +8,7 @@ with the vocabulary of error pages, notices and filler; pages with only weak wor
 from __future__ import annotations
 
 import re
-from html import unescape
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,28 +70,8 @@ FUNCTION_WORDS = frozenset(
 LATIN_STEMS = frozenset("lorem ipsum dolor sit amet consectetur".split())
 VOWELS = re.compile(r"[aeiouyäöüéèàáíóú]", re.I)
 CLUMP = re.compile(r"[^aeiouyäöüéèàáíóú\W\d_]{4,}|q(?!u)|[^\W\d_]*[jqxz][jqxzwvk]", re.I)
-LONGEST_PAGE = 700
-#: Parts of the words of pages and filler; a text without any can only be filler of no language.
-PAGE_CUES = (
-    "script|skript|cookie|aktive inhalte|active content|error|fehler|gateway|not found|forbidden|unavailable|bad request|sitzung|session|abgelaufen|expired|wartung|maintenance|verfügbar|verf&uuml;gbar|zu viele anfragen|too many requests"
-    "|angeforderte|requested|the server |traceback|loading|denied|verweigert|blindtext|mustertext|beispieltext|platzhalter|fülltext|dummy|sample|placeholder|example text|lorem|ipsum|hier steht|hier kommt|hier folgt|goes here|hier ein"
-    "|todo|tbd|fixme|absatz|paragraph|abschnitt|textbaustein|asdf|qwert|xxx|überschrift|&uuml;berschrift|heading|headline|untertitel|went wrong|broke|oops|browser|erreur est|ocurrido|- - -|-----------|___________|grußformel|anrede]|seite nicht"
-).split("|")
-
-
-def _page_cues() -> ahocorasick.Automaton:
-    built = ahocorasick.Automaton()
-    for word in PAGE_CUES:
-        built.add_word(word, 1)
-    built.make_automaton()
-    return built
-
-
-_PAGE_CUES = _page_cues()
-_ANY_TAG = re.compile(r"<[^<>]*>|&\w+;")
-_HIDDEN = re.compile(r"<style.*?</style>|<!--.*?-->|</?[A-Za-z][^<>]*>|\r", re.S | re.I)
-
-
+#: How much of a page of weak sentences is compared with others.
+SHAPE_LENGTH = 700
 def _filler(text: str) -> bool:
     """Running words of no language: none of the words that hold sentences together."""
     words = text.replace(".", " ").replace(",", " ").split()
@@ -113,11 +91,9 @@ def _filler(text: str) -> bool:
 def page_verdict(lines: list[str]) -> str:
     """"strong": nothing but filler, error page or notice; "weak": only words that go with those; else ""."""
     strong = weak = 0
-    size = 0
     for line in lines:
         if not line:
             continue
-        size += len(line)
         if line[-1] == "?":
             return ""
         bare = line.strip(" .!:;*#=>-")
@@ -133,9 +109,7 @@ def page_verdict(lines: list[str]) -> str:
             elif WEAK.fullmatch(bare):
                 weak += 1
             elif not (PLACEHOLDER.fullmatch(bare) or bare.isdigit()):
-                return "strong" if len(lines) <= 60 and _filler(" ".join(x for x in lines if x and not STRONG.fullmatch(x))) else ""
-        if size > LONGEST_PAGE and strong < 3:
-            return ""
+                return "strong" if _maybe_filler(line) and _filler(" ".join(x for x in lines if x and not STRONG.fullmatch(x))) else ""
     return "strong" if strong else "weak" if weak else ""
 
 
@@ -181,23 +155,10 @@ def _marked(text: str) -> bool:
     return "<" in text and not LOOKS_HTML.search(text) and MARKS.search(text) is not None
 
 
-def _maybe_page(text: str) -> bool:
-    """Whether the first sentence is one of a page's, as then all of them must be."""
-    if len(text) > 6 * LONGEST_PAGE or next(_PAGE_CUES.iter(text.lower()), None) is None:
-        return False
-    start = unescape(_HIDDEN.sub("\n", text[:600])).strip()
-    line = start.split("\n", 1)[0].strip()
-    for part in (line, _SENTENCE.split(line, maxsplit=1)[0]):
-        bare = part.strip(" .!:;*#=>-")
-        if not bare or STRONG.fullmatch(bare) or WEAK.fullmatch(bare) or STRONG.fullmatch(part):
-            return True
-    return False
-
-
-def _maybe_filler(text: str) -> bool:
-    """Whether the text's first words lack all function words; filler of any length does."""
-    words = _ANY_TAG.sub(" ", text[:600]).lower().replace(",", " ").replace(".", " ").split()
-    return FUNCTION_WORDS.isdisjoint(words)
+def _maybe_filler(line: str) -> bool:
+    """Whether a line may be part of filler: all its words are letters, and at most one is a function word."""
+    words = line.replace(".", " ").replace(",", " ").split()
+    return all(w.isalpha() for w in words) and len(FUNCTION_WORDS.intersection(w.lower() for w in words)) <= 1
 
 
 def signals(text: str, content_type: str | None, title: bool) -> dict | None:
@@ -205,8 +166,6 @@ def signals(text: str, content_type: str | None, title: bool) -> dict | None:
         lines = [TITLE_PREFIX.sub("", text.strip(), count=1).strip()]
     else:
         marked = _marked(text)
-        if not marked and not (_maybe_page(text) or _maybe_filler(text)):
-            return None
         lines = [line for line in new_lines(text, content_type)[0] if line]
     if not any(lines):
         return None
@@ -216,7 +175,7 @@ def signals(text: str, content_type: str | None, title: bool) -> dict | None:
         found.append(("sehr geehrte/r⟨⟩,", "", False))
     if not page and not found:
         return None
-    shape = re.sub(r"\d+", "0", " ".join(lines)).lower()[:LONGEST_PAGE] if page == "weak" else None
+    shape = re.sub(r"\d+", "0", " ".join(lines)).lower()[:SHAPE_LENGTH] if page == "weak" else None
     return {"page": page, "shape": shape, "slots": [{"skeleton": s, "filler": f, "mention": m} for s, f, m in found]}
 
 
