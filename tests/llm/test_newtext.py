@@ -64,3 +64,11 @@ def test_rows(spark):
     assert len(rows) == 5 and new[1] is None and new[2]["md5"] == letters_md5([]) == "d41d8cd98f00b204e9800998ecf8427e" and not new[2]["other"]
     assert new[3]["other"] and not new[4]["other"]
     assert newly_written(df.limit(0), "body").count() == 0
+
+
+def test_introductions_in_more_languages_and_long_tails():
+    for intro in ["Dnia 2.05.2024 o 10:00 Jana Stein napisała:", "Dne 2. 5. 2024 v 10:00 Jana Stein napsala:", "Il 2 maggio 2024 alle 10:00 Jana Stein ha scritto:"]:
+        lines, other = new_lines(f"OK.\n\n{intro}\nKiedy to będzie?")
+        assert other and words(lines) == "OK."
+    text = "Hallo,\n\nes geht los.\n\nJana Stein\n" + "Tel. 030-5551234\n" * 8 + "Der Drucker im zweiten Stock druckt seit heute wieder."
+    assert "Der Drucker" in words(new_lines(text)[0])

@@ -23,6 +23,7 @@ CONSOLE = re.compile(r"\s*>\s*(?:(?:ping|tracert|traceroute|nslookup|ipconfig|if
 INTRO_START = re.compile(r"(?:Am|On|Le|El|Dnia|Dne|Il|W dniu)\s.{0,60}\d|.{2,140}(?:schrieb am|wrote on|a écrit le|escribió el)\b|.{2,90}<$|.{2,140}(?:schrieb|wrote|a écrit|escribió)(?: am| on| le| el)?$", re.I)
 INTRO = re.compile(
     r"(?:Am|On|Le|El)\s.{4,200}?(?:schrieb|geschrieben|wrote|a écrit|escribió).{0,140}?:$"
+    r"|(?:Dnia|W dniu|Dne|Il)\s.{4,200}?(?:napisał|napsal|ha scritto).{0,140}?:$"
     r"|.{2,160}?(?:schrieb am|wrote on|a écrit le|escribió el)\s.{4,40}?:$",
     re.I,
 )
@@ -65,7 +66,7 @@ OWN, OTHER = True, False
 
 #: Words without which the patterns above can't match, found in one pass over a text: 1 introductions, 2 header blocks, 4 notices.
 CUES = {
-    1: ["schrieb", "wrote", "écrit", "escribió"],
+    1: ["schrieb", "wrote", "écrit", "escribió", "napisał", "napsal", "scritto"],
     2: ["von:", "from:", "de:", "de :", "gesendet:", "sent:", "betreff:", "subject:", "asunto:", "objet:", "objet :", "nachricht-", "message-", "message -", "nachricht -", "d'origine", "transféré", "original -", "reenviado -"],
     4: [
         "vertraulich", "confiden", "zum datenschutz", "datenschutzhinweis", "empfänger", "irrtümlich", "binden uns", "schriftlicher bestätigung", "sitz der", "registergericht", "amtsgericht", "hrb ",
@@ -198,7 +199,7 @@ def _is_name(line: str) -> bool:
 
 def _tail_follows(rest: list[str]) -> bool:
     """Whether only contact lines, short lines, notices and separators follow."""
-    for line in rest[:8]:
+    for line in rest:
         if line and not (CONTACT.search(line) or DEVICE.match(line) or LEGAL.search(line) or SEPARATOR.match(line) or POSTSCRIPT.match(line) or not SENTENCE.match(line)):
             return False
     return True
