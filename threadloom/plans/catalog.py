@@ -1,4 +1,4 @@
-"""All core queries with their SQL, by name."""
+"""Core queries with their SQL, by name. None exists yet."""
 
 from __future__ import annotations
 
