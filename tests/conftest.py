@@ -9,7 +9,7 @@ from threadloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, 8)
+def spark(tmp_path_factory):
+    session = local_session(8, 8, str(tmp_path_factory.mktemp("checkpoints")))
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
-    """A session for tests and benchmarks. On a cluster the caller brings its own."""
-    return (
+def local_session(cores: int | str = 8, partitions: int = 8, checkpoints: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks. On a cluster the caller brings its own.
+
+    ``checkpoints`` names the shared folder; it is used only where the session's defaults name none.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("threadloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("THREADLOOM_DRIVER_MEMORY", "12g"))
+        .config("spark.driver.memory", os.environ.get("THREADLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    session = builder.getOrCreate()
+    if checkpoints and not session.conf.get("spark.checkpoint.dir", None):
+        session.sparkContext.setCheckpointDir(checkpoints)
+    return session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,19 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder if someone has set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_by_hand.isDefined():
+        return set_by_hand.get()
+    raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, so that later passes read stored rows."""
+    """Cuts the lineage with a reliable checkpoint, so that later passes read stored rows.
+
+    Spark removes the files with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
