@@ -102,6 +102,10 @@ def _cut_at_trigger(line: Column) -> Column:
     return F.transform(F.array(both), one)[0]
 
 
+def _cut_at(pattern: str) -> Callable[[Column], Column]:
+    return lambda line: rstrip(F.regexp_replace(line, pattern, ""))
+
+
 def strip_signature(c: Column) -> Column:
     """Signature parts cut out of each line, firm lines and blank lines dropped.
 
@@ -115,7 +119,7 @@ def strip_signature(c: Column) -> Column:
     kept = F.transform(kept, lambda line: strip(F.regexp_replace(line, rf"(?s)[{WS}]--+.*$", "")))
     kept = F.transform(kept, _cut_at_trigger)
     for pattern in (domain, contact, postcode):
-        kept = F.transform(kept, lambda line, pattern=pattern: rstrip(F.regexp_replace(line, pattern, "")))
+        kept = F.transform(kept, _cut_at(pattern))
     kept = F.filter(kept, lambda line: (line != "") & ~line.rlike(rf"(?iu){_B}(?:{COMPANY}){_E}"))
     return strip(unlines(kept))
 

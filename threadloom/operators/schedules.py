@@ -21,7 +21,9 @@ def from_json(df: DataFrame, column: str) -> DataFrame:
 def to_json(schedules: DataFrame) -> DataFrame:
     """The same as one JSON text; schedules are a handful of settings."""
     entry = F.struct(*[F.col(c) if c not in ("last_run", "next_run") else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) for c in schedules.columns])
-    return schedules.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id").alias("key"), entry.alias("value")))))).alias("json"))
+    entries = F.collect_list(F.struct(F.col("id").alias("key"), entry.alias("value")))
+    by_id = F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return schedules.agg(F.to_json(F.map_from_entries(by_id)).alias("json"))
 
 
 def due(schedules: DataFrame, now: Column) -> DataFrame:

@@ -121,7 +121,7 @@ ORACLES = {
     "chunk_windows": f"""SELECT doc_id, i::INT AS chunk_index, array_to_string(CASE WHEN len(toks) <= 450 THEN toks ELSE toks[i * 400 + 1 : i * 400 + 450] END, ' ') AS text
         FROM (SELECT doc_id, toks, unnest(CASE WHEN len(toks) <= 450 THEN [0] ELSE range(0, (len(toks) + 399) // 400) END) AS i FROM (SELECT doc_id, {_WORDS} AS toks FROM documents) WHERE len(toks) > 0)""",
     "resplit_windows": f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS chunk_index, length(array_to_string(w[j * 128 + 1 : j * 128 + 128], ' '))::INT AS n_chars
-        FROM (SELECT doc_id, i, w, unnest(range(0, CASE WHEN n <= 200 THEN 1 ELSE (len(w) + 127) // 128 END)) AS j FROM (SELECT doc_id, len(toks) AS n, i, CASE WHEN len(toks) <= 200 THEN toks ELSE toks[i * 180 + 1 : i * 180 + 200] END AS w
+        FROM (SELECT doc_id, n, i, w, unnest(range(0, (len(w) + 127) // 128)) AS j FROM (SELECT doc_id, len(toks) AS n, i, CASE WHEN len(toks) <= 200 THEN toks ELSE toks[i * 180 + 1 : i * 180 + 200] END AS w
           FROM (SELECT doc_id, toks, unnest(CASE WHEN len(toks) <= 200 THEN [0] ELSE range(0, (len(toks) + 179) // 180) END) AS i FROM (SELECT doc_id, {_WORDS} AS toks FROM documents) WHERE len(toks) > 0))) WHERE n > 200
         UNION ALL SELECT doc_id, 0 AS chunk_index, length(array_to_string(toks, ' '))::INT AS n_chars FROM (SELECT doc_id, {_WORDS} AS toks FROM documents) WHERE len(toks) BETWEEN 1 AND 200""",
     "embed_texts": f"{_B} SELECT id, 16::INT AS width, CASE WHEN {sql.not_blank('body')} THEN 1e0 ELSE 0e0 END AS squared_length FROM bodies",

@@ -9,8 +9,8 @@ from threadloom.functions.text import is_blank, log_fields
 
 
 def log_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """(file, modified, line_no, line) of all log files that match; lines are numbered within each file."""
-    files = spark.read.option("wholetext", True).text(pattern)
+    """(file, modified, line_no, line) of all log files that match; lines are numbered within each file, which one task reads whole."""
+    files = spark.read.text(pattern, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.split("value", r"\r?\n").alias("l"))
     return rows.select("file", "modified", F.posexplode("l").alias("line_no", "line")).where("line <> ''")
 
