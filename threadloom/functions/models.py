@@ -55,9 +55,9 @@ def embed(text: Column, factory: Callable[[], Embedder] = hashing_embedder, batc
 
 
 def overlap_score(query: Column, text: Column) -> Column:
-    """The default reranker, by built-in functions: the share of the query's distinct words that the text holds."""
-    asked = F.array_distinct(search_words(query))
-    held = F.size(F.array_intersect(asked, search_words(text)))
+    """The default reranker, by built-in functions: the share of the query's distinct words that the text holds; null counts as empty."""
+    asked = F.array_distinct(search_words(F.coalesce(query, F.lit(""))))
+    held = F.size(F.array_intersect(asked, search_words(F.coalesce(text, F.lit("")))))
     return F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(held / F.size(asked))
 
 

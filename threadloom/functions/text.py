@@ -169,8 +169,8 @@ def stop_words() -> frozenset[str]:
 
 STOP_WORDS = stop_words()
 
-#: Letters for which built-in lower case is not the same as compatibility normalization and full case folding.
-_RARE = r"[^\x00-\xA9\xAB-\xB1\xB4\xB6-\xB8\xBB\xBF-\x{130}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2010}-\x{205E}\x{20A0}-\x{20BF}\x{2190}-\x{2BFF}]|\x{130}"
+#: A letter for which built-in lower case may differ from compatibility normalization and full case folding; ASCII is asked first.
+_RARE = r"[^\x00-\x7F](?<![\x80-\xA9\xAB-\xB1\xB4\xB6-\xB8\xBB\xBF-\x{12F}\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2010}-\x{205E}\x{20A0}-\x{20BF}\x{2190}-\x{2BFF}])"
 
 
 @F.arrow_udf(ArrayType(StringType()))
@@ -179,20 +179,36 @@ def _fold_words(lists: pa.Array) -> pa.Array:
     return pa.array(folded, type=pa.list_(pa.string()))
 
 
+def has_rare(c: Column) -> Column:
+    return c.rlike(_RARE)
+
+
+def raw_words(c: Column, rare: Column) -> Column:
+    """Runs of letters and digits; folded already where the text has common letters only."""
+    return F.regexp_extract_all(F.when(rare, c).otherwise(simple_fold(c)), F.lit(f"({WORD})"), F.lit(1))
+
+
+def folded(found: Column, rare: Column) -> Column:
+    return F.coalesce(_fold_words(F.when(rare, found)), found)
+
+
+def counting(found: Column, stops: frozenset[str] = STOP_WORDS) -> Column:
+    """Without stop words and empty words."""
+    left_out = sorted(stops | {""})
+    return F.filter(found, lambda w: ~w.isin(left_out))
+
+
 def words(c: Column) -> Column:
     """Runs of letters and digits, normalized (NFKC) and case-folded. Null gives null.
 
-    Texts of common letters are folded by built-in functions; only the words of others go through Python.
+    Texts of common letters are folded whole by built-in functions; only the words of others go through Python.
     """
-    found = F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
-    rare = c.rlike(_RARE)
-    return F.coalesce(_fold_words(F.when(rare, found)), F.transform(found, simple_fold))
+    return folded(raw_words(c, has_rare(c)), has_rare(c))
 
 
 def search_words(c: Column, stops: frozenset[str] = STOP_WORDS) -> Column:
     """The words of a text that count in retrieval: without stop words and empty words."""
-    known = F.array(*[F.lit(w) for w in sorted(stops)])
-    return F.filter(words(c), lambda w: (w != "") & ~F.array_contains(known, w))
+    return counting(words(c), stops)
 
 
 def without_thinking(c: Column) -> Column:

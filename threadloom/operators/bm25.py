@@ -9,26 +9,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import search_words
+from threadloom.functions.text import counting, folded, has_rare, raw_words
 from threadloom.session import cut
 
 K1, B = 0.9, 0.4
 
 
 def tokenized(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, words, dl): the search words of each text and their number."""
-    found = df.select(key, search_words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    """(key, words, dl): the search words of each text and their number.
+
+    The same words as ``search_words`` gives, in steps, so that no text is scanned twice.
+    """
+    rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    rows = rows.withColumn("__rare", has_rare(F.col("__t")))
+    rows = rows.select(key, "__rare", raw_words(F.col("__t"), F.col("__rare")).alias("__found"))
+    found = rows.select(key, counting(folded(F.col("__found"), F.col("__rare"))).alias("words"))
     return found.withColumn("dl", F.size("words"))
 
 
+def each_word(tokens: DataFrame, *columns: str) -> DataFrame:
+    """(columns, term) for each word. An outer explode, as for a plain one the optimizer tokenizes twice to drop empty lists early."""
+    return tokens.select(*columns, F.explode_outer("words").alias("term")).where("term IS NOT NULL")
+
+
 def term_frequencies(tokens: DataFrame, key: str) -> DataFrame:
     """(key, term, tf, dl). Without an exchange if the rows already lie by key."""
-    return tokens.select(key, "dl", F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return each_word(tokens, key, "dl").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def document_frequencies(tokens: DataFrame) -> DataFrame:
     """(term, df): counted from each text's distinct words, summed up before the shuffle."""
-    return tokens.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return tokens.select(F.explode_outer(F.array_distinct("words")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -38,6 +49,20 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.agg(n.alias("n_docs"), total.alias("total_length"), (total / n).alias("avgdl"))
 
 
+def collection_stats(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Document frequencies and corpus statistics in one pass: a null term stands for each text and carries its length.
+
+    What is kept has one row a term; it is written once, so that the texts aren't read again for each use.
+    """
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("words"))
+    rows = tokens.select("dl", F.explode_outer(terms).alias("term"))
+    counted = cut(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total")))
+    n = F.greatest(F.lit(1).cast("long"), F.coalesce(F.sum("df"), F.lit(0).cast("long")))
+    total = F.coalesce(F.sum("total"), F.lit(0).cast("long"))
+    stats = counted.where("term IS NULL").agg(n.alias("n_docs"), total.alias("total_length"), (total / n).alias("avgdl"))
+    return counted.where("term IS NOT NULL").select("term", "df"), stats
+
+
 def vocabulary(frequencies: DataFrame, ranges: int = 64) -> DataFrame:
     """(term, df, term_id): terms numbered from 0 in code point order.
 

@@ -58,11 +58,11 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens(spark, sf_dir)
-    return bm25.stats_record(bm25.document_frequencies(found), bm25.corpus_stats(found)).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
+    return bm25.stats_record(*bm25.collection_stats(found)).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
 
 
 def _weights(found: DataFrame) -> DataFrame:
-    return bm25.weights(bm25.term_frequencies(found, "point_id"), bm25.document_frequencies(found), bm25.corpus_stats(found), ["point_id"])
+    return bm25.weights(bm25.term_frequencies(found, "point_id"), *bm25.collection_stats(found), ["point_id"])
 
 
 def bm25_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,9 @@ def bm25_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk's stored form: number of terms and their weights as text, in order of the term numbers."""
     found = tokens(spark, sf_dir)
-    vectors = bm25.sparse_vectors(_weights(found), bm25.vocabulary(bm25.document_frequencies(found)), "point_id")
+    terms, stats = bm25.collection_stats(found)
+    weighted = bm25.weights(bm25.term_frequencies(found, "point_id"), terms, stats, ["point_id"])
+    vectors = bm25.sparse_vectors(weighted, bm25.vocabulary(terms), "point_id")
     entry = F.transform("sparse", lambda s: F.concat(s["idx"].cast("string"), F.lit(":"), F.round(s["val"] * 1000).cast("long").cast("string")))
     return vectors.select("point_id", F.size("sparse").alias("n_terms"), F.array_join(entry, " ").alias("entries"))
 
@@ -91,7 +93,7 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, asked = tokens(spark, sf_dir), queries_of(points(spark, sf_dir))
-    terms, stats = bm25.document_frequencies(found), bm25.corpus_stats(found)
+    terms, stats = bm25.collection_stats(found)
     return search.sparse_topk(found, search.query_weights(asked, "query", terms, stats), terms, stats, TOP_K)
 
 

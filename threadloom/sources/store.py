@@ -88,9 +88,8 @@ class Store:
     def rebuild(self, now: str) -> None:
         """Counts terms over all chunks anew and rewrites the sparse vectors, nothing else. An empty collection has n_docs 1."""
         tokens = bm25.tokenized(self.scroll(), "point_id", "text")
-        terms = cut(bm25.vocabulary(bm25.document_frequencies(tokens)))
-        stats = bm25.corpus_stats(tokens)
-        terms.write.mode("overwrite").parquet(self.path("terms"))
+        frequencies, stats = bm25.collection_stats(tokens)
+        bm25.vocabulary(frequencies).write.mode("overwrite").parquet(self.path("terms"))
         stats.withColumn("last_rebuild", F.lit(now)).withColumn("width", F.lit(self.width())).write.mode("overwrite").parquet(self.path("meta"))
         self.write_sparse(self.weights())
 
