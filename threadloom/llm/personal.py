@@ -158,9 +158,14 @@ NOBODY = frozenset("zusammen Team Support Helpdesk Kollegen Damen Service Desk A
 def _name_candidates(text: str, given: frozenset, family: frozenset, taken: list[tuple[int, int]], a: int, b: int) -> list[tuple[str, int, str, str]]:
     out: list[tuple[str, int, str, str]] = []
     done = 0
-    spans = [(m.start(), m.end()) for m in COMMA_NAME.finditer(text, a, b) if m[0].split(", ")[1] in given and (m[0].split(", ")[0].split()[-1] in family or AFTER.match(_line_after(text, m.end())))]
+    spans: list[tuple[int, int]] = []
+    if text.find(", ", a, b) >= 0:
+        spans = [(m.start(), m.end()) for m in COMMA_NAME.finditer(text, a, b) if m[0].split(", ")[1] in given and (m[0].split(", ")[0].split()[-1] in family or AFTER.match(_line_after(text, m.end())))]
     commas = {s for s, _ in spans}
-    spans += [(m.start(), m.end()) for m in NAME.finditer(text, a, b)]
+    for m in NAME.finditer(text, a, b):
+        parts = m[0].split()
+        if not (given.isdisjoint(parts) and family.isdisjoint(parts)) or _titled(text, a, m.start()):
+            spans.append(m.span())
     spans.sort(key=lambda x: (x[0], -x[1]))
     for start, end in spans:
         if start < done:
@@ -209,6 +214,14 @@ def _name_candidates(text: str, given: frozenset, family: frozenset, taken: list
     return out
 
 
+def _titled(text: str, a: int, at: int) -> bool:
+    """Whether what stands before ``at`` in its line may be a form of address; only rules out."""
+    if at <= a or text[at - 1] != " ":
+        return False
+    word = text[text.rfind(" ", a, at - 1) + 1 : at - 1]
+    return word[-1:] == "." or word.lstrip("<>(\"'|*-:;,/") in _TITLE_WORDS or word[-1:].isalpha() and _LETTERS.findall(word)[-1] in _TITLE_WORDS
+
+
 _PARTICLES = frozenset("von van der den vom zum zur zu de la los del da di le ten ter Mac Mc O".split())
 
 
@@ -247,7 +260,10 @@ _DIGITS = re.compile(r"\d[\d \xa0()/.–+-]{4}|\d[A-Z]\d|[A-Z]\d")
 _AT_SIGN = re.compile(_AT, re.I)
 #: Words of which a line with a street that doesn't end in one has at least one.
 _STREET_WORDS = frozenset("An Auf Unter In Am Im Zum Zur Hinter Vor Hinterm Straße Strasse Str Weg Ring Platz Gasse Allee Pfad Markt C Calle Plaza Avenida Avda Paseo ul ulica al Camino rue avenue place boulevard bd allée chemin impasse quai route Street Road Lane Avenue Ave Drive Close Blvd Boulevard Square St Rd Ln Way Court Row Terrace Hill Yard".split())
-_STREET_ENDS = tuple(x.rstrip("\\.") for x in _STREET[3:-1].split("|"))
+#: A word that ends like a street.
+_STREET_END = re.compile(_STREET.replace("\\.", "") + r"(?![^\W\d_])")
+#: A number after or before a word, as house numbers stand.
+_NUMBERED = re.compile(r"[^\W\d_]\.?,?\s\d|\d(?:\s?(?:bis|ter|[a-z]))?,?\s[^\W\d_]")
 _DIGIT = re.compile(r"\d")
 _AT_SIGNS = ("at)", "at]", "at}", " at", "\xa0at", "\tat")
 _TITLE_WORDS = frozenset("Herr Herrn Frau Hr Fr Mr Mrs Ms Miss Mme Mlle M Monsieur Madame Sr Sra Señor Señora Pan Pani paní pan Dr Prof ppa A V p".split())
@@ -293,9 +309,10 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
             taken.append(m.span())
             cue = PHONE_CUE.search(left)
             out.append(("phone", m.start(), ("+" if grouped else "-") + ("+" if cue else "0") + ("-" if not cue and NOT_VALUE.search(left) else "0") + ("-" if date else "0"), re.sub(r"\d+", "0", m[0])[:12]))
-    ends = digits and any(w.endswith(_STREET_ENDS) for w in _LETTERS.findall(lower))
+    near = digits and _NUMBERED.search(line) is not None
+    ends = near and _STREET_END.search(lower) is not None
     for rx in (STREET, LOWER_STREET):
-        if not (ends or digits and rx is STREET and not _STREET_WORDS.isdisjoint(words)):
+        if not (ends or near and rx is STREET and not _STREET_WORDS.isdisjoint(words)):
             continue
         for m in rx.finditer(seen, a, b):
             if any(x < m.end() and m.start() < y for x, y in taken):
