@@ -48,3 +48,33 @@ def test_long_pages_and_signed_filler(spark):
     quoted = "502 Bad Gateway\n\nAm 02.02.2022 um 17:05 schrieb Urs Brask <u@post.example>:\n" + "> Die Waage hängt seit dem Umzug.\n" * 300
     mash = "tuwptj flfq öipuqöirl\n\nMit freundlichen Grüßen\nJana Stein"
     assert found(spark, [blind, quoted, mash, "Das ist normal.\n" * 100]) == {0, 1, 2}
+
+
+def test_gaps_and_bare_names_need_aligned_records(spark):
+    filled = [f"Guten Tag Herr {n}, Ihre Bestellung vom {d} wurde versandt." for n, d in [("Stein", "3.4.2022"), ("Koch", "5.6.2023"), ("van der Meer", "7.8.2021")]]
+    empty = ["Guten Tag Herr , Ihre Bestellung vom 9.9.2022 wurde versandt.", "Guten Tag Herr LASTNAME, Ihre Bestellung vom 1.2.2022 wurde versandt."]
+    alone = ["Der Drucker , den ich meine, steht im Lager.", "Bitte USERNAME in der Maske prüfen.", "Die Meldung  kommt wieder."]
+    assert found(spark, filled + empty + alone) == {3, 4}
+    assert found(spark, empty + alone) == set()
+    assert found(spark, (filled + empty + alone) * 50) == {i for i in range(400) if i % 8 in (3, 4)}
+
+
+def test_copies_change_nothing(spark):
+    texts = [*PAGES, *TEMPLATES, *CLEAN]
+    once = found(spark, texts)
+    assert found(spark, texts * 100) == {i + len(texts) * k for k in range(100) for i in once}
+
+
+def test_sentences_of_other_languages_are_no_filler(spark):
+    texts = ["Dziękuję bardzo serdecznie wam wszystkim jutro", "Grazie mille ancora molto davvero sempre", "Yardımınız için teşekkür ederim hepinize iyi çalışmalar", "Спасибо большое вам всем всегда", "Hartelijk bedankt voor jullie snelle hulp gisteren", "Kiitos paljon nopeasta avusta kaikille teille"]
+    assert found(spark, texts) == set()
+
+
+def test_repeated_pages_of_other_languages(spark):
+    page = "Błąd 404\nStrona nie istnieje\nwróć do strony głównej"
+    report = "Im Browser steht nur:\n502 Bad Gateway\nedge-3/1.2\nBitte den Proxy prüfen."
+    assert found(spark, [page] * 3 + [report] * 3) == {0, 1, 2}
+
+
+def test_notice_that_reads_like_a_legal_one(spark):
+    assert found(spark, ["Diese Nachricht enthält Inhalte, die nur mit aktivierten Skripten sichtbar sind.", "Die Waage hängt.\n\nDiese Nachricht ist nur für den genannten Empfänger bestimmt."]) == {0}

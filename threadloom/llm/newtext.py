@@ -51,9 +51,9 @@ DEVICE = re.compile(
     re.I,
 )
 LEGAL = re.compile(
-    r"vertraulich\s?:|confidential|confidentiel|hinweise? zum datenschutz|datenschutzhinweis|nur für den (?:genannten )?empfänger|irrtümlich|e-mails? binden uns|schriftlicher bestätigung"
+    r"vertraulich\s?:|\bconfidential\b|confidentiality (?:notice|note|statement|clause)|confidentiel|hinweise? zum datenschutz|datenschutzhinweis|nur für den (?:genannten )?empfänger|irrtümlich|e-mails? binden uns|schriftlicher bestätigung"
     r"|sitz der (?:firma|gesellschaft)|registergericht|amtsgericht|\bHRB \d|\bUSt-|geschäftsführer|registered (?:in|office)|company no\b|not binding until|accept no liability|no liability for"
-    r"|(?:diese|dieser) (?:nachricht|e-?mail) (?:ist|kann|enthält|und ihre anhänge)|meant for the addressee|got it by mistake|(?:content and any )?enclosures may not"
+    r"|(?:diese|dieser) (?:nachricht|e-?mail) (?:ist|kann|enthält (?!inhalte,? die nur mit)|und ihre anhänge)|meant for the addressee|got it by mistake|(?:content and any )?enclosures may not"
     r"|denken sie an die umwelt|bevor sie diese (?:seite|e-?mail|nachricht) drucken|think (?:twice )?before (?:you )?print|before printing this|avant d'imprimer|antes de imprimir"
     r"|(?:e-?mail|nachricht|message) kam von (?:außerhalb|extern)|came from outside|öffnen sie anhänge nur|external (?:sender|e-?mail)|ce message est destiné|en cas d'erreur|este mensaje (?:es|va|está)|aviso legal|haftung\b|im auftrag unserer geschäftsleitung",
     re.I,
@@ -282,6 +282,13 @@ def new_lines(text: str, content_type: str | None = None) -> tuple[list[str], bo
     return out, other
 
 
+def own_lines(text: str, content_type: str | None = None) -> list[str]:
+    """The lines of one message that aren't history, signature and notices included."""
+    html = content_type == "text/html" or content_type != "text/plain" and LOOKS_HTML.search(text) is not None
+    lines = html_lines(text) if html else plain_lines(text)
+    return [line for (line, _), mine in zip(lines, _mark_history(lines, cues(text))) if mine and line]
+
+
 BODY_BREAK = re.compile(r"(?:\r\n|\n)---(?:\r\n|\n)")
 
 

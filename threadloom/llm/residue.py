@@ -1,21 +1,25 @@
 """Template residue, filler and error pages.
 
-Something that looks like a placeholder is an unfilled slot unless its own sentence speaks of templates or scripts or
-asks about it; other records have no say in that. Whole texts are matched, line by line,
-with the vocabulary of error pages, notices and filler; pages with only weak words count if they are repeated.
+What has the marks of a placeholder is an unfilled slot unless its own sentence speaks of templates or scripts or asks
+about it; other records have no say in that. What has no marks, a bare variable name or a gap where a value fell out, is
+decided by aligning records: their sentences are keyed by the words around each place, and a place that other records
+fill with differing values is a slot. Whole texts are matched, line by line, with the vocabulary of error pages,
+notices and filler; pages with only weak words, or with just the headline of an error page, count if they are repeated.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.newtext import new_lines
+from threadloom.llm.newtext import new_lines, own_lines
 from threadloom.llm.visible import LOOKS_HTML
-from threadloom.session import cut
+from threadloom.session import stored
 
 _IN = r"[^\W\d_][\w.\- ]{0,38}?"
 PLACEHOLDER = re.compile(
@@ -60,6 +64,8 @@ WEAK = re.compile(
     r"|(?:reference|referenz|anfrage-?id|request-?id|vorgangskennung|ray id|incident|kennung|support-id)\b[\s#:]*[\w.#-]+|(?:edge|nginx|apache|proxy|cache|iis|varnish)[-/ ][\w./-]+|(?:zur startseite|hilfe|impressum|kontakt|home|help|imprint)(?: \| [\w ]+)*|[\w.]+, line \d+|oops|sorry|entschuldigung|hinweis|fehler|error",
     re.I,
 )
+#: A line of few words that holds a status code or names scripts or cookies, in whatever language; counts only on repeated pages.
+HEADLINE = re.compile(r"(?:\S+\s+){0,3}(?:[45]\d\d|HTTP(?:/[\d.]+)?\s[45]\d\d|java-?scripts?|cookies?|captcha)(?:\s+\S+){0,3}", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\s*\|\|\s*")
 FUNCTION_WORDS = frozenset(
     "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war wird werden hat haben mit auf für von zu zum zur im in an am bei nach aus über unter vor seit ich wir sie er es ihr uns mich mir kann können bitte noch nur auch wie was wenn als dass so schon sehr "
@@ -70,18 +76,24 @@ FUNCTION_WORDS = frozenset(
 LATIN_STEMS = frozenset("lorem ipsum dolor sit amet consectetur".split())
 VOWELS = re.compile(r"[aeiouyäöüéèàáíóú]", re.I)
 CLUMP = re.compile(r"[^aeiouyäöüéèàáíóú\W\d_]{4,}|q(?!u)|[^\W\d_]*[jqxz][jqxzwvk]", re.I)
-#: How much of a page of weak sentences is compared with others.
-SHAPE_LENGTH = 700
+
+
 def _filler(text: str) -> bool:
-    """Running words of no language: none of the words that hold sentences together."""
+    """Running words of no language: pseudo-Latin, or letters struck at random.
+
+    Pseudo-Latin is told by what it has, not only by what it lacks, so that sentences of languages without a list of
+    function words aren't taken for it: plain letters, no function word, and known stems or words that come again.
+    """
     words = text.replace(".", " ").replace(",", " ").split()
     if not words or not all(w.isalpha() for w in words):
         return False
     lower = [w.lower() for w in words]
-    if any(w in FUNCTION_WORDS for w in lower):
-        return not LATIN_STEMS.isdisjoint(lower) and len(words) >= 8 and len(FUNCTION_WORDS.intersection(lower)) <= 1
+    stems = not LATIN_STEMS.isdisjoint(lower)
+    functional = FUNCTION_WORDS.intersection(lower)
+    if functional:
+        return stems and len(words) >= 8 and len(functional) <= 1
     small = sum(w[0].islower() for w in words)
-    if len(words) >= 6 and small >= 0.7 * len(words):
+    if len(words) >= 6 and small >= 0.7 * len(words) and text.isascii() and (stems or len(set(lower)) < len(lower)) and not any(len(w) < 3 for w in lower):
         return True
     if len(words) >= 2 and lower[0] == "lorem" and "ipsum" in lower[1:2]:
         return True
@@ -113,6 +125,79 @@ def page_verdict(lines: list[str]) -> str:
     return "strong" if strong else "weak" if weak else ""
 
 
+def headline_page(lines: list[str]) -> bool:
+    """Several lines, the first a headline of an error page, none a question, a greeting or an announcement of something quoted."""
+    kept = [line for line in lines if line]
+    return len(kept) >= 2 and not any(line[-1] in "?,:" for line in kept) and HEADLINE.fullmatch(kept[0].strip(" .!:;*#=>-")) is not None
+
+
+#: What may be a variable name without any marks around it.
+BARE = re.compile(r"(?<![\w/\\.:@%$#{\[<«-])(?:[A-ZÄÖÜ]{2,}(?:[_.][A-ZÄÖÜ]+)+|[A-ZÄÖÜ]{6,}|[a-zäöü]+(?:_[a-zäöü]+)+|[a-z]+(?:[A-Z][a-z]+)+)(?![\w/\\:@%$#}\]>»-]|\.\w)")
+VARIABLE = re.compile(r"name|datum|date|nummer|number|(?:^|_)n[or](?:_|$)|(?:^|_)id(?:_|$)|kunde|customer|user|ticket|order|bestell|vorgang|link|url|firma|company|betreff|subject|title|titel|anrede|salutation|street|strasse|stadt|city|mail|agent", re.I)
+#: Where a value fell out of a sentence: white space doubled within it or left before a comma or full stop.
+GAP = re.compile(r"(?<=[^\s.!?:;,|>*-])(?: {2,3}(?=[^\W\d_])| (?=[,.](?:\s|$)))")
+TOKEN = re.compile(r"[^\W_]+(?:[-.@'/_][^\W_]+)*|[^\w\s]")
+CONTEXT = 3
+LONGEST_FILLER = 3
+#: Size of the table of contexts that is sent to all tasks; it doesn't grow with the data.
+CONTEXT_BITS = 1 << 20
+
+
+def _tokens(text: str) -> list[str]:
+    return ["0" if t[0].isdigit() else t for t in TOKEN.findall(text.lower())]
+
+
+def _hash(tokens: list[str], seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join(tokens).encode("utf-8", "surrogatepass"), seed) >> 1
+
+
+def open_places(sentence: str) -> list[tuple[int, int, str]]:
+    """(left, context, filler) of what may be an unfilled slot but only other records can tell: bare variable names and gaps.
+
+    The context is a hash of three words on either side, left one of those before it.
+    """
+    found = []
+    for m in GAP.finditer(sentence):
+        found.append((m.start(), m.end(), ""))
+    if "_" in sentence or any(c.isupper() for c in sentence[1:]):
+        found += [(m.start(), m.end(), m[0]) for m in BARE.finditer(sentence) if VARIABLE.search(m[0])]
+    out = []
+    for start, end, filler in found:
+        left, right = ["^", *_tokens(sentence[:start])][-CONTEXT:], [*_tokens(sentence[end:]), "$"][:CONTEXT]
+        if len(left) + len(right) >= 4:
+            before = _hash(left)
+            out.append((before, _hash(right, before), filler))
+    return out
+
+
+def fillers(sentence: str, lefts: np.ndarray, contexts: np.ndarray) -> list[tuple[int, int]]:
+    """(context, hash of the filler) of the sentence's words, one to three at a time, that stand in a known context."""
+    tokens = ["^", *_tokens(sentence), "$"]
+    out = []
+    for i in range(1, len(tokens) - 1):
+        left = tokens[max(0, i - CONTEXT) : i]
+        before = _hash(left)
+        if not lefts[before % CONTEXT_BITS]:
+            continue
+        for n in range(1, LONGEST_FILLER + 1):
+            right = tokens[i + n : i + n + CONTEXT]
+            if not right or len(left) + len(right) < 4:
+                break
+            context = _hash(right, before)
+            if contexts[context % CONTEXT_BITS]:
+                filler = sentence_filler(tokens[i : i + n])
+                if filler is not None:
+                    out.append((context, filler))
+    return out
+
+
+def sentence_filler(tokens: list[str]) -> int | None:
+    text = " ".join(tokens)
+    if not any(c.isalnum() for c in text) or VARIABLE.search(text) and "_" in text:
+        return None
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
 def slots(text: str) -> list[tuple[str, str, bool]]:
     """(skeleton, filler, mention) of everything in a line that looks like a placeholder."""
     found = []
@@ -144,8 +229,8 @@ def _is_slot(match: re.Match, sentence: str) -> bool:
     return True
 
 
-SIGNALS = "struct<page: string, shape: string, slots: array<struct<skeleton: string, filler: string, mention: boolean>>>"
-_ARROW = pa.struct([("page", pa.string()), ("shape", pa.string()), ("slots", pa.list_(pa.struct([("skeleton", pa.string()), ("filler", pa.string()), ("mention", pa.bool_())])))])
+SIGNALS = "struct<page: string, shape: string, unfilled: boolean, places: array<struct<before: long, context: long, filler: string>>, lines: array<string>>"
+_ARROW = pa.struct([("page", pa.string()), ("shape", pa.string()), ("unfilled", pa.bool_()), ("places", pa.list_(pa.struct([("before", pa.int64()), ("context", pa.int64()), ("filler", pa.string())]))), ("lines", pa.list_(pa.string()))])
 
 
 def _marked(text: str) -> bool:
@@ -161,26 +246,38 @@ def _maybe_filler(line: str) -> bool:
     return all(w.isalpha() for w in words) and len(FUNCTION_WORDS.intersection(w.lower() for w in words)) <= 1
 
 
+SALUTATIONS = ("Sehr geehrte/r,", "Sehr geehrte/r ,", "Dear ,", "Hallo ,", "Guten Tag ,", "Hello !", "Hello ,")
+
+
+def _mentions(sentence: str) -> bool:
+    rest = PLACEHOLDER.sub(" ", sentence)
+    return MENTION.search(rest) is not None or ASKS.search(rest) is not None
+
+
 def signals(text: str, content_type: str | None, title: bool) -> dict | None:
     if title:
-        lines = [TITLE_PREFIX.sub("", text.strip(), count=1).strip()]
+        marked, lines = True, [TITLE_PREFIX.sub("", text.strip(), count=1).strip()]
     else:
-        marked = _marked(text)
-        lines = [line for line in new_lines(text, content_type)[0] if line]
+        marked, lines = _marked(text), [line for line in new_lines(text, content_type)[0] if line]
+        if not lines:  # a page may read like a notice
+            lines = own_lines(text, content_type)
     if not any(lines):
         return None
     page = page_verdict(lines)
-    found = [s for line in lines for s in slots(line)] if title or marked else []
-    if not title and lines[0].rstrip() in ("Sehr geehrte/r,", "Sehr geehrte/r ,", "Dear ,", "Hallo ,", "Guten Tag ,", "Hello !", "Hello ,"):
-        found.append(("sehr geehrte/r⟨⟩,", "", False))
-    if not page and not found:
-        return None
-    shape = re.sub(r"\d+", "0", " ".join(lines)).lower()[:SHAPE_LENGTH] if page == "weak" else None
-    return {"page": page, "shape": shape, "slots": [{"skeleton": s, "filler": f, "mention": m} for s, f, m in found]}
+    if not page and not title and headline_page(lines):
+        page = "weak"
+    unfilled = marked and any(not mention for line in lines for _, _, mention in slots(line)) or not title and lines[0].rstrip() in SALUTATIONS
+    shape = str(xxhash.xxh64_intdigest(re.sub(r"\d+", "0", " ".join(lines)).lower().encode("utf-8", "surrogatepass"))) if page == "weak" else None
+    places = []
+    if not unfilled and page != "strong":
+        for line in lines:
+            if "  " in line or " ," in line or " ." in line or "_" in line or BARE.search(line):
+                places += [p for sentence in _SENTENCE.split(line) if not _mentions(sentence) for p in open_places(sentence)]
+    return {"page": page, "shape": shape, "unfilled": unfilled, "places": [{"before": b, "context": k, "filler": f} for b, k, f in places], "lines": lines}
 
 
 def with_signals(df: DataFrame, text: str, kind: str | None = None, title: bool = False, out: str = "signals") -> DataFrame:
-    """Adds what a text shows by itself; null for texts that show nothing, null and blank ones. Other columns pass through."""
+    """Adds what a text shows by itself, and its own lines; null for null and blank texts. Other columns pass through."""
 
     @F.arrow_udf(SIGNALS)
     def look(texts: pa.Array, kinds: pa.Array) -> pa.Array:
@@ -189,18 +286,45 @@ def with_signals(df: DataFrame, text: str, kind: str | None = None, title: bool
     return df.withColumn(out, look(df[text], df[kind] if kind else F.lit(None).cast("string")))
 
 
+def induced(seen: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of records with an open place that other records fill: the same words around it, and at least two values in it.
+
+    What goes to all tasks are two tables of ``CONTEXT_BITS`` bits that say which contexts may be asked for; the exact
+    contexts are then joined. Values are told apart by the least and the greatest of their hashes, so no list of them is kept,
+    and repeating records changes nothing.
+    """
+    asked = seen.select(*keys, F.explode("places").alias("p")).select(*keys, "p.*")
+    tables = []
+    for column in ("before", "context"):
+        bits = [r[0] for r in asked.select(F.pmod(column, F.lit(CONTEXT_BITS)).cast("int")).distinct().collect()]  # at most CONTEXT_BITS
+        if not bits:
+            return seen.select(*keys).limit(0)
+        table = np.zeros(CONTEXT_BITS, dtype=bool)
+        table[bits] = True
+        tables.append(np.packbits(table))
+    known = seen.sparkSession.sparkContext.broadcast(tables)
+
+    @F.arrow_udf("array<struct<context: long, value: long>>")
+    def fill(lists: pa.Array) -> pa.Array:
+        lefts, contexts = (np.unpackbits(t).astype(bool) for t in known.value)
+        rows = [[{"context": k, "value": v} for line in lines or () for sentence in _SENTENCE.split(line) for k, v in fillers(sentence, lefts, contexts)] for lines in lists.to_pylist()]
+        return pa.array(rows, type=pa.list_(pa.struct([("context", pa.int64()), ("value", pa.int64())])))
+
+    values = seen.select(F.explode(fill(F.col("lines"))).alias("v")).groupBy("v.context").agg(F.min("v.value").alias("a"), F.max("v.value").alias("b"))
+    return asked.join(values.where("a <> b"), "context", "left_semi").select(*keys)
+
+
 def residue(records: DataFrame, keys: list[str], column: str = "signals", least_repeats: int = 3) -> DataFrame:
     """The distinct keys of records that are template residue, filler or error pages.
 
-    ``records`` has the signals of every record. Shapes are counted over all of them. What looks like a placeholder is an
-    unfilled slot, however often it occurs, unless its own sentence speaks of templates or asks about it. Records
-    without signals never come out; an empty table gives no rows.
+    ``records`` has the signals of every record. A placeholder in marks is an unfilled slot, however often it occurs,
+    unless its own sentence speaks of templates or asks about it. A bare variable name or a gap is one if the
+    records align: if others have at least two values between the same words. Pages with only weak words count if their
+    whole shape is repeated. Records without signals never come out; an empty table gives no rows.
     """
-    seen = cut(records.where(F.col(column).isNotNull()).select(*keys, f"{column}.*").distinct())
-    strong = seen.where("page = 'strong'").select(*keys)
+    seen = stored(records.where(F.col(column).isNotNull()).select(*keys, f"{column}.*"))
+    sure = seen.where("page = 'strong' OR unfilled").select(*keys)
     weak = seen.where("page = 'weak'")
-    repeated = weak.groupBy("shape").agg(F.count("*").alias("n")).where(F.col("n") >= least_repeats).select("shape")
+    repeated = weak.select(*keys, "shape").distinct().groupBy("shape").agg(F.count("*").alias("n")).where(F.col("n") >= least_repeats).select("shape")
     pages = weak.join(repeated, "shape", "left_semi").select(*keys)
-    slot = seen.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.*")
-    unfilled = slot.where(~F.col("mention")).select(*keys)
-    return strong.unionByName(pages).unionByName(unfilled).distinct()
+    return sure.unionByName(pages).unionByName(induced(seen, keys)).distinct()
