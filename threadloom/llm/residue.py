@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.newtext import new_lines, own_lines
-from threadloom.llm.visible import LOOKS_HTML
 from threadloom.session import stored
 
 _IN = r"[^\W\d_][\w.\- ]{0,38}?"
@@ -27,7 +27,8 @@ PLACEHOLDER = re.compile(
     rf"|%(?=[^\W\d_]){_IN}%|\$(?=[^\W\d_]){_IN}\$|\{{{_IN}\}}|(?P<weak>«{_IN}»|<{_IN}>|\[{_IN}\])"
 )
 #: A text without any of these holds no placeholder.
-MARKS = re.compile(r"\{(?!margin)[{%A-Za-z]|[$#]\{|<%|\[(?!at\]|dot\])[\[A-Za-z]|\*\||\(\(|@@|__[A-Za-z]|%[A-Za-z]|\$[A-Za-z]|«[A-Za-z]|<(?!(?:br|p|div|html|head|body|style|span|small|hr|blockquote|a|b|i|u)\b)[A-Za-z][\w.\- ]{0,38}>|&lt;[A-Za-z%][^&@]{0,38}&gt;|&laquo;|&#(?!64;)|geehrte/r ?,", re.I)
+MARKS = re.compile(r"\{[{%\w]|[$#]\{|<%|\[(?!at\]|dot\])[\[\w]|\*\||\(\(|@@|__\w|%[^\W\d_]|\$[^\W\d_]|«[^\W\d_]|<[^\W\d_][\w.\- ]{0,38}>", re.I)
+MARK_SIGNS = re.compile(r"[{\[<«%$#@_*(]")
 DEFAULT = re.compile(r"insert\b.*\bhere|hier (?:einfügen|eingeben|eintragen)|goes here|(?:vor|first ?)name,? (?:nach|last ?)name|your (?:name|text)|enter .* here", re.I)
 IDENTIFIER = re.compile(r"[^\W\d_]+(?:[._-][^\W_]+)+$|[^\W\d_]{2,}$|[^\W\d_]+[A-ZÄÖÜ][^\W_]*$")
 NOT_SLOTS = frozenset("at dot ät punkt sic info warn warning error debug fatal trace notice".split())
@@ -132,7 +133,8 @@ def headline_page(lines: list[str]) -> bool:
 
 
 #: What may be a variable name without any marks around it.
-BARE = re.compile(r"(?<![\w/\\.:@%$#{\[<«-])(?:[A-ZÄÖÜ]{2,}(?:[_.][A-ZÄÖÜ]+)+|[A-ZÄÖÜ]{6,}|[a-zäöü]+(?:_[a-zäöü]+)+|[a-z]+(?:[A-Z][a-z]+)+)(?![\w/\\:@%$#}\]>»-]|\.\w)")
+BARE = re.compile(r"(?<![\w/\\.:@%$#{\[<«-])(?:[A-ZÄÖÜ]{2,}(?:[_.][A-ZÄÖÜ]+)+|[A-ZÄÖÜ]{6,}|[a-zäöü]+(?:_[a-zäöü]+)+)(?![\w/\\:@%$#}\]>»-]|\.\w)")
+CAPITALS = re.compile(r"[A-ZÄÖÜ]{6}")
 VARIABLE = re.compile(r"name|datum|date|nummer|number|(?:^|_)n[or](?:_|$)|(?:^|_)id(?:_|$)|kunde|customer|user|ticket|order|bestell|vorgang|link|url|firma|company|betreff|subject|title|titel|anrede|salutation|street|strasse|stadt|city|mail|agent", re.I)
 #: Where a value fell out of a sentence: white space doubled within it or left before a comma or full stop.
 GAP = re.compile(r"(?<=[^\s.!?:;,|>*-])(?: {2,3}(?=[^\W\d_])| (?=[,.](?:\s|$)))")
@@ -141,6 +143,8 @@ CONTEXT = 3
 LONGEST_FILLER = 3
 #: Size of the table of contexts that is sent to all tasks; it doesn't grow with the data.
 CONTEXT_BITS = 1 << 20
+#: Up to so many words before places are looked up first, only to pass over lines sooner.
+ANCHORS = 20_000
 
 
 def _tokens(text: str) -> list[str]:
@@ -151,22 +155,22 @@ def _hash(tokens: list[str], seed: int = 0) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(tokens).encode("utf-8", "surrogatepass"), seed) >> 1
 
 
-def open_places(sentence: str) -> list[tuple[int, int, str]]:
-    """(left, context, filler) of what may be an unfilled slot but only other records can tell: bare variable names and gaps.
+def open_places(sentence: str) -> list[tuple[int, int, str, str]]:
+    """(left, context, last word before it, filler) of what may be an unfilled slot but only other records can tell: bare variable names and gaps.
 
     The context is a hash of three words on either side, left one of those before it.
     """
     found = []
-    for m in GAP.finditer(sentence):
-        found.append((m.start(), m.end(), ""))
-    if "_" in sentence or any(c.isupper() for c in sentence[1:]):
+    if "  " in sentence or " ," in sentence or " ." in sentence:
+        found += [(m.start(), m.end(), "") for m in GAP.finditer(sentence)]
+    if "_" in sentence or CAPITALS.search(sentence):
         found += [(m.start(), m.end(), m[0]) for m in BARE.finditer(sentence) if VARIABLE.search(m[0])]
     out = []
     for start, end, filler in found:
         left, right = ["^", *_tokens(sentence[:start])][-CONTEXT:], [*_tokens(sentence[end:]), "$"][:CONTEXT]
         if len(left) + len(right) >= 4:
             before = _hash(left)
-            out.append((before, _hash(right, before), filler))
+            out.append((before, _hash(right, before), left[-1], filler))
     return out
 
 
@@ -200,7 +204,9 @@ def sentence_filler(tokens: list[str]) -> int | None:
 
 def slots(text: str) -> list[tuple[str, str, bool]]:
     """(skeleton, filler, mention) of everything in a line that looks like a placeholder."""
-    found = []
+    found: list[tuple[str, str, bool]] = []
+    if MARKS.search(text) is None:
+        return found
     for sentence in _SENTENCE.split(text):
         if not MARKS.search(sentence):
             continue
@@ -229,15 +235,8 @@ def _is_slot(match: re.Match, sentence: str) -> bool:
     return True
 
 
-SIGNALS = "struct<page: string, shape: string, unfilled: boolean, places: array<struct<before: long, context: long, filler: string>>, lines: array<string>>"
-_ARROW = pa.struct([("page", pa.string()), ("shape", pa.string()), ("unfilled", pa.bool_()), ("places", pa.list_(pa.struct([("before", pa.int64()), ("context", pa.int64()), ("filler", pa.string())]))), ("lines", pa.list_(pa.string()))])
-
-
-def _marked(text: str) -> bool:
-    for mark in ("{", "[", "%", "$", "«", "@@", "__", "*|", "((", "&lt;", "&#", "&laquo;", "eehrte/r"):
-        if mark in text:
-            return MARKS.search(text) is not None
-    return "<" in text and not LOOKS_HTML.search(text) and MARKS.search(text) is not None
+SIGNALS = "struct<page: string, shape: string, unfilled: boolean, places: array<struct<before: long, context: long, anchor: string, filler: string>>, lines: array<string>>"
+_ARROW = pa.struct([("page", pa.string()), ("shape", pa.string()), ("unfilled", pa.bool_()), ("places", pa.list_(pa.struct([("before", pa.int64()), ("context", pa.int64()), ("anchor", pa.string()), ("filler", pa.string())]))), ("lines", pa.list_(pa.string()))])
 
 
 def _maybe_filler(line: str) -> bool:
@@ -256,9 +255,9 @@ def _mentions(sentence: str) -> bool:
 
 def signals(text: str, content_type: str | None, title: bool) -> dict | None:
     if title:
-        marked, lines = True, [TITLE_PREFIX.sub("", text.strip(), count=1).strip()]
+        lines = [TITLE_PREFIX.sub("", text.strip(), count=1).strip()]
     else:
-        marked, lines = _marked(text), [line for line in new_lines(text, content_type)[0] if line]
+        lines = [line for line in new_lines(text, content_type)[0] if line]
         if not lines:  # a page may read like a notice
             lines = own_lines(text, content_type)
     if not any(lines):
@@ -266,14 +265,18 @@ def signals(text: str, content_type: str | None, title: bool) -> dict | None:
     page = page_verdict(lines)
     if not page and not title and headline_page(lines):
         page = "weak"
-    unfilled = marked and any(not mention for line in lines for _, _, mention in slots(line)) or not title and lines[0].rstrip() in SALUTATIONS
+    unfilled = any(not mention for line in lines if MARK_SIGNS.search(line) for _, _, mention in slots(line)) or not title and lines[0].rstrip() in SALUTATIONS
     shape = str(xxhash.xxh64_intdigest(re.sub(r"\d+", "0", " ".join(lines)).lower().encode("utf-8", "surrogatepass"))) if page == "weak" else None
     places = []
     if not unfilled and page != "strong":
+        bare = "_" in text or CAPITALS.search(text) is not None
         for line in lines:
-            if "  " in line or " ," in line or " ." in line or "_" in line or BARE.search(line):
-                places += [p for sentence in _SENTENCE.split(line) if not _mentions(sentence) for p in open_places(sentence)]
-    return {"page": page, "shape": shape, "unfilled": unfilled, "places": [{"before": b, "context": k, "filler": f} for b, k, f in places], "lines": lines}
+            if "  " in line or " ," in line or " ." in line or bare and ("_" in line or CAPITALS.search(line)):
+                for sentence in _SENTENCE.split(line):
+                    open_here = open_places(sentence)
+                    if open_here and not _mentions(sentence):
+                        places += open_here
+    return {"page": page, "shape": shape, "unfilled": unfilled, "places": [{"before": b, "context": k, "anchor": a, "filler": f} for b, k, a, f in places], "lines": lines}
 
 
 def with_signals(df: DataFrame, text: str, kind: str | None = None, title: bool = False, out: str = "signals") -> DataFrame:
@@ -302,12 +305,26 @@ def induced(seen: DataFrame, keys: list[str]) -> DataFrame:
         table = np.zeros(CONTEXT_BITS, dtype=bool)
         table[bits] = True
         tables.append(np.packbits(table))
-    known = seen.sparkSession.sparkContext.broadcast(tables)
+    anchors = [r[0] for r in asked.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    known = seen.sparkSession.sparkContext.broadcast((tables, anchors if len(anchors) <= ANCHORS and not any(a == "0" or a == "^" for a in anchors) else None))
 
     @F.arrow_udf("array<struct<context: long, value: long>>")
     def fill(lists: pa.Array) -> pa.Array:
-        lefts, contexts = (np.unpackbits(t).astype(bool) for t in known.value)
-        rows = [[{"context": k, "value": v} for line in lines or () for sentence in _SENTENCE.split(line) for k, v in fillers(sentence, lefts, contexts)] for lines in lists.to_pylist()]
+        lefts, contexts = (np.unpackbits(t).astype(bool) for t in known.value[0])
+        words = None
+        if known.value[1] is not None:
+            words = ahocorasick.Automaton()
+            for anchor in known.value[1]:
+                words.add_word(anchor, True)
+            words.make_automaton()
+        rows = []
+        for lines in lists.to_pylist():
+            found: list[dict] = []
+            for line in lines or ():
+                if words is not None and next(words.iter(line.lower()), None) is None:
+                    continue
+                found += [{"context": k, "value": v} for sentence in _SENTENCE.split(line) for k, v in fillers(sentence, lefts, contexts)]
+            rows.append(found)
         return pa.array(rows, type=pa.list_(pa.struct([("context", pa.int64()), ("value", pa.int64())])))
 
     values = seen.select(F.explode(fill(F.col("lines"))).alias("v")).groupBy("v.context").agg(F.min("v.value").alias("a"), F.max("v.value").alias("b"))
