@@ -53,10 +53,10 @@ def test_long_pages_and_signed_filler(spark):
 def test_gaps_and_bare_names_need_aligned_records(spark):
     filled = [f"Guten Tag Herr {n}, Ihre Bestellung vom {d} wurde versandt." for n, d in [("Stein", "3.4.2022"), ("Koch", "5.6.2023"), ("van der Meer", "7.8.2021")]]
     empty = ["Guten Tag Herr , Ihre Bestellung vom 9.9.2022 wurde versandt.", "Guten Tag Herr LASTNAME, Ihre Bestellung vom 1.2.2022 wurde versandt."]
-    alone = ["Der Drucker , den ich meine, steht im Lager.", "Bitte USERNAME in der Maske prüfen.", "Die Meldung  kommt wieder."]
+    alone = ["Im Urlaub vertritt mich Korbinian VORDERBACH.", "Der Drucker , den ich meine, steht im Lager.", "Bitte USERNAME in der Maske prüfen.", "Die Meldung  kommt wieder."]
     assert found(spark, filled + empty + alone) == {3, 4}
     assert found(spark, empty + alone) == set()
-    assert found(spark, (filled + empty + alone) * 50) == {i for i in range(400) if i % 8 in (3, 4)}
+    assert found(spark, (filled + empty + alone) * 50) == {i for i in range(450) if i % 9 in (3, 4)}
 
 
 def test_copies_change_nothing(spark):

@@ -135,7 +135,7 @@ def headline_page(lines: list[str]) -> bool:
 #: What may be a variable name without any marks around it.
 BARE = re.compile(r"(?<![\w/\\.:@%$#{\[<«-])(?:[A-ZÄÖÜ]{2,}(?:[_.][A-ZÄÖÜ]+)+|[A-ZÄÖÜ]{6,}|[a-zäöü]+(?:_[a-zäöü]+)+)(?![\w/\\:@%$#}\]>»-]|\.\w)")
 CAPITALS = re.compile(r"[A-ZÄÖÜ]{6}")
-VARIABLE = re.compile(r"name|datum|date|nummer|number|(?:^|_)n[or](?:_|$)|(?:^|_)id(?:_|$)|kunde|customer|user|ticket|order|bestell|vorgang|link|url|firma|company|betreff|subject|title|titel|anrede|salutation|street|strasse|stadt|city|mail|agent", re.I)
+VARIABLE = re.compile(r"(?:name|datum|date|nummer|number|betreff|subject|anrede|salutation|placeholder|platzhalter)$|(?:^|[_.])(?:id|nr|no|link|url|titel|title|firma|company|kunde|customer|user|ticket|order|stadt|city|strasse|street)(?:[_.]|$)", re.I)
 #: Where a value fell out of a sentence: white space doubled within it or left before a comma or full stop.
 GAP = re.compile(r"(?<=[^\s.!?:;,|>*-])(?: {2,3}(?=[^\W\d_])| (?=[,.](?:\s|$)))")
 TOKEN = re.compile(r"[^\W_]+(?:[-.@'/_][^\W_]+)*|[^\w\s]")
@@ -306,7 +306,8 @@ def induced(seen: DataFrame, keys: list[str]) -> DataFrame:
         table[bits] = True
         tables.append(np.packbits(table))
     anchors = [r[0] for r in asked.select("anchor").distinct().limit(ANCHORS + 1).collect()]
-    known = seen.sparkSession.sparkContext.broadcast((tables, anchors if len(anchors) <= ANCHORS and not any(a == "0" or a == "^" for a in anchors) else None))
+    anchored = len(anchors) <= ANCHORS and not {"0", "^"}.intersection(anchors)  # digits and beginnings of lines are no words to look up
+    known = seen.sparkSession.sparkContext.broadcast((tables, anchors if anchored else None))
 
     @F.arrow_udf("array<struct<context: long, value: long>>")
     def fill(lists: pa.Array) -> pa.Array:
