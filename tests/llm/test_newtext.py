@@ -1,3 +1,4 @@
+from threadloom.llm import newtext
 from threadloom.llm.newtext import letters_md5, new_lines, new_lines_of_ticket, newly_written
 
 MAIL = """Hallo Zoë,
@@ -72,3 +73,41 @@ def test_introductions_in_more_languages_and_long_tails():
         assert other and words(lines) == "OK."
     text = "Hallo,\n\nes geht los.\n\nJana Stein\n" + "Tel. 030-5551234\n" * 8 + "Der Drucker im zweiten Stock druckt seit heute wieder."
     assert "Der Drucker" in words(new_lines(text)[0])
+
+
+def test_cues_behind_entities_and_in_other_languages():
+    assert newtext.new_lines("<p>Die Waage h&auml;ngt.</p><p>Gesch&auml;ftsf&uuml;hrer: Jana Stein, Amtsgericht Tarnau</p>") == (["Die Waage hängt."], True)
+    for intro in ("Il giorno 3 mar 2024 alle ore 10:12 Ada Rossi <ada@x.example> ha scritto:", "W dniu 3.03.2024 o 10:12, Jan Nowak pisze:", "Op 3 maart 2024 om 10:12 schreef Jan Smit <j@x.example>:", "Le 3 mars 2024, Ada a &eacute;crit&nbsp;:"):
+        lines, other = newtext.new_lines(f"<p>Neu</p><p>{intro}</p><p>alt eins</p><p>alt zwei</p>".replace("<a", "&lt;a").replace("<j", "&lt;j").replace("e>", "e&gt;"))
+        assert (lines, other) == (["Neu"], True), intro
+
+
+def test_unmarked_history_is_told_by_its_ancestor(spark):
+    old = ["Der nächtliche Lauf meldet seit Dienstag einen Zeitablauf, sobald das Netz kurz ausfällt, und danach fehlen Daten.", "Die Tabelle mit den Messwerten endet mit Code 581, obwohl seit der Umstellung gar nichts mehr geändert wurde.", "Wir haben das Gerät zweimal neu gestartet."]
+    rows = [
+        (1, 7, 0, "\n".join(["Guten Tag,", *old])),
+        (2, 7, 1, "\n".join(["Bitte einmal abmelden.", *old])),
+        (3, 7, 2, "\n".join(["Danke.", old[0]])),  # one sentence alone may come again
+        (4, 8, 3, "\n".join(["Anderer Vorgang.", *old])),
+        (5, 7, None, "\n".join(["Ohne Platz.", *old])),
+        (6, None, 4, "\n".join(["Ohne Vorgang.", *old])),
+        (7, 7, 5, "\n".join([old[1], old[0], "Andere Folge."])),
+    ]
+    df = spark.createDataFrame(rows, "id long, ticket_id long, article_position int, body string")
+    found = newtext.newly_written(df.unionByName(df), "body").select("id", "ticket_id", "article_position", "new.*")
+    texts = {r["id"]: r["text"] for r in newtext.without_inherited(found, "id", "ticket_id", "article_position").collect()}
+    assert texts[2] == "Bitte einmal abmelden."
+    assert all(texts[i] == rows[i - 1][3] for i in (1, 3, 4, 5, 6, 7))
+
+
+def test_copies_of_a_thread_keep_the_first(spark):
+    text = "Der Export nach profil.ini dauert über eine Stunde und bricht dann mit einer Meldung ab, die niemand im ganzen Haus kennt oder versteht.\nDas gilt für alle Plätze im Versand und seit gestern auch für die Kasse, jedoch nur am Vormittag und selten danach."
+    df = spark.createDataFrame([(i, 1, i, text) for i in range(300)], "id long, ticket_id long, article_position int, body string")
+    found = newtext.newly_written(df, "body").select("id", "ticket_id", "article_position", "new.*")
+    rows = newtext.without_inherited(found, "id", "ticket_id", "article_position").collect()
+    assert sorted((r["id"], r["text"] == text, r["other"]) for r in rows) == [(i, i == 0, i > 0) for i in range(300)]
+
+
+def test_words_of_law_within_a_report_are_the_senders(spark):
+    lines, other = newtext.new_lines("The confidentiality banner is cut off in print. The folder is empty.")
+    assert lines == ["The confidentiality banner is cut off in print. The folder is empty."] and not other

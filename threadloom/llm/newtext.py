@@ -1,9 +1,9 @@
 """The text of a mail that its sender newly wrote, without history, signature and notices.
 
 A message's own reference headers (introductions such as "On ..., X wrote:" and blocks of From/Sent/To/Subject lines)
-give its ancestors, as nested in it; prefixes and markup give their extent. What follows the last own words is
-recognised as signature, device note or legal notice. Comparing with the other articles of a ticket does not help on
-this project's data, whose quoted lines aren't taken from them (see README).
+give ancestors that are nested in it; prefixes and markup give their extent. What follows the last own words is
+recognised as signature, device note or legal notice. What is left is compared with the earlier messages of the same
+thread: rolling-hash shingles of lines find common spans, aligned line by line with one ancestor, and long ones go.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import re
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,10 @@ from threadloom.llm.visible import LOOKS_HTML, NOTICE, QUOTE, SIGNATURE, html_li
 
 PREFIX = re.compile(r"\s*[>|]")
 CONSOLE = re.compile(r"\s*>\s*(?:(?:ping|tracert|traceroute|nslookup|ipconfig|ifconfig|curl|wget|ssh|telnet|net use|dir|route)\b.*|Zeitüberschreitung .*|Request timed out.*|\d+ hops\b.*|Antwort von .*|Reply from .*|)$", re.I)
-INTRO_START = re.compile(r"(?:Am|On|Le|El|Dnia|Dne|Il|W dniu)\s.{0,60}\d|.{2,140}(?:schrieb am|wrote on|a écrit le|escribió el)\b|.{2,90}<$|.{2,140}(?:schrieb|wrote|a écrit|escribió)(?: am| on| le| el)?$", re.I)
+INTRO_START = re.compile(r"(?:Am|On|Le|El|Dnia|Dne|Il|W dniu|Op|Den|Em|Пн|Вт|Ср|Чт|Пт|Сб|Вс|В)\s.{0,60}\d|.{2,140}(?:schrieb am|wrote on|a écrit le|escribió el)\b|.{2,90}<$|.{2,140}(?:schrieb|wrote|a écrit|escribió)(?: am| on| le| el)?$", re.I)
 INTRO = re.compile(
     r"(?:Am|On|Le|El)\s.{4,200}?(?:schrieb|geschrieben|wrote|a écrit|escribió).{0,140}?:$"
-    r"|(?:Dnia|W dniu|Dne|Il)\s.{4,200}?(?:napisał|napsal|ha scritto).{0,140}?:$"
+    r"|(?:Dnia|W dniu|Dne|Il|Op|Den|Em|Пн|Вт|Ср|Чт|Пт|Сб|Вс|В)\s.{4,200}?(?:napisał|pisze|napsal|ha scritto|schreef|skrev|escreveu|написал|пишет).{0,140}?:$"
     r"|.{2,160}?(?:schrieb am|wrote on|a écrit le|escribió el)\s.{4,40}?:$",
     re.I,
 )
@@ -66,7 +67,7 @@ OWN, OTHER = True, False
 
 #: Words without which the patterns above can't match, found in one pass over a text: 1 introductions, 2 header blocks, 4 notices.
 CUES = {
-    1: ["schrieb", "wrote", "écrit", "escribió", "napisał", "napsal", "scritto"],
+    1: ["schrieb", "wrote", "écrit", "escribió", "napisał", "pisze", "napsal", "scritto", "schreef", "skrev", "escreveu", "написал", "пишет"],
     2: ["von:", "from:", "de:", "de :", "gesendet:", "sent:", "betreff:", "subject:", "asunto:", "objet:", "objet :", "nachricht-", "message-", "message -", "nachricht -", "d'origine", "transféré", "original -", "reenviado -"],
     4: [
         "vertraulich", "confiden", "zum datenschutz", "datenschutzhinweis", "empfänger", "irrtümlich", "binden uns", "schriftlicher bestätigung", "sitz der", "registergericht", "amtsgericht", "hrb ",
@@ -255,7 +256,7 @@ def new_lines(text: str, content_type: str | None = None) -> tuple[list[str], bo
     """The newly written lines of one message, and whether it holds any other text."""
     html = content_type == "text/html" or content_type != "text/plain" and LOOKS_HTML.search(text) is not None
     lines = html_lines(text) if html else plain_lines(text)
-    found = cues(text)
+    found = cues("\n".join([line for line, _ in lines])) if html else cues(text)
     own = _mark_history(lines, found)
     out: list[str] = []
     other = False
@@ -286,7 +287,7 @@ def own_lines(text: str, content_type: str | None = None) -> list[str]:
     """The lines of one message that aren't history, signature and notices included."""
     html = content_type == "text/html" or content_type != "text/plain" and LOOKS_HTML.search(text) is not None
     lines = html_lines(text) if html else plain_lines(text)
-    return [line for (line, _), mine in zip(lines, _mark_history(lines, cues(text))) if mine and line]
+    return [line for (line, _), mine in zip(lines, _mark_history(lines, cues("\n".join([line for line, _ in lines])))) if mine and line]
 
 
 BODY_BREAK = re.compile(r"(?:\r\n|\n)---(?:\r\n|\n)")
@@ -307,18 +308,59 @@ def letters_md5(lines: list[str]) -> str:
     return hashlib.md5(ALNUM.sub("", "".join(lines)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-RESULT = pa.struct([("text", pa.string()), ("md5", pa.string()), ("other", pa.bool_())])
+#: An inherited span has at least so many letters and digits, on at least two lines; single sentences come again by chance.
+INHERITED_LETTERS = 200
+_BASE = 1_000_003
+_MASK = (1 << 63) - 1
+
+
+def shingles(lines: list[str]) -> list[dict]:
+    """Every two neighbouring lines with text as one rolling hash: (n, h, letters), n the index of the first."""
+    hashed = []
+    for n, line in enumerate(lines):
+        if line:
+            bare = ALNUM.sub("", line).lower()
+            if bare:
+                hashed.append((n, xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass")), len(bare)))
+    return [{"n": a[0], "next": b[0], "h": (a[1] * _BASE + b[1]) & _MASK, "letters": a[2], "last": b[2]} for a, b in zip(hashed, hashed[1:])]
+
+
+def inherited(matches: list[dict], least: int = INHERITED_LETTERS) -> list[int]:
+    """The indexes of lines in spans that run, line by line, along one ancestor and are long enough.
+
+    ``matches`` are shingles with the ancestor and the index there at which each stands.
+    """
+    out: list[int] = []
+    span: list[dict] = []
+
+    def close() -> None:
+        if span and sum(m["letters"] for m in span) + span[-1]["last"] >= least:
+            out.extend([m["n"] for m in span] + [span[-1]["next"]])
+        span.clear()
+
+    for m in sorted(matches, key=lambda m: m["n"]):
+        if span and not (m["n"] == span[-1]["next"] and m["ancestor"] == span[-1]["ancestor"] and m["at"] == span[-1]["at_next"]):
+            close()
+        span.append(m)
+    close()
+    return sorted(set(out))
+
+
+_SHINGLE = pa.struct([("n", pa.int32()), ("next", pa.int32()), ("h", pa.int64()), ("letters", pa.int32()), ("last", pa.int32())])
+RESULT = pa.struct([("text", pa.string()), ("md5", pa.string()), ("other", pa.bool_()), ("shingles", pa.list_(_SHINGLE))])
+RESULT_DDL = "struct<text: string, md5: string, other: boolean, shingles: array<struct<n: int, next: int, h: long, letters: int, last: int>>>"
 
 
 def newly_written(df: DataFrame, text: str, kind: str | None = None, assembled: bool = False, out: str = "new") -> DataFrame:
-    """Adds a struct (text, md5, other): the newly written lines, the MD5 of their letters and digits, whether other text was left out.
+    """Adds a struct (text, md5, other, shingles): the newly written lines, the MD5 of their letters and digits, whether
+    other text was left out, and what the lines are compared by.
 
     ``kind`` names a column with the content type; where that is null or there is none, markup decides. ``assembled``
     reads the text as a ticket's content (title line, then articles). A null text gives a null struct, a blank one
     empty text. Other columns pass through; one named ``out`` is replaced. Texts are read whole.
     """
 
-    @F.arrow_udf("struct<text: string, md5: string, other: boolean>")
+    @F.arrow_udf(RESULT_DDL)
     def strip(texts: pa.Array, kinds: pa.Array) -> pa.Array:
         rows = []
         for value, content_type in zip(texts.to_pylist(), kinds.to_pylist()):
@@ -326,7 +368,37 @@ def newly_written(df: DataFrame, text: str, kind: str | None = None, assembled:
                 rows.append(None)
                 continue
             lines, other = new_lines_of_ticket(value) if assembled else new_lines(value, content_type)
-            rows.append({"text": "\n".join(lines), "md5": letters_md5(lines), "other": other})
+            rows.append({"text": "\n".join(lines), "md5": letters_md5(lines), "other": other, "shingles": [] if assembled else shingles(lines)})
         return pa.array(rows, type=RESULT)
 
     return df.withColumn(out, strip(df[text], df[kind] if kind else F.lit(None).cast("string")))
+
+
+def without_inherited(found: DataFrame, key: str, thread: str, position: str) -> DataFrame:
+    """(key, text, md5, other) of rows (key, thread, position, text, md5, other, shingles), without spans of earlier messages.
+
+    Of each shingle of a thread only its first place is kept, counted before the shuffle, so a line that a third of all
+    messages share makes no pairs. Rows without thread or position have no ancestors. A message's matches are one group.
+    """
+    each = found.where(F.col(thread).isNotNull() & F.col(position).isNotNull() & (F.size("shingles") > 0))
+    each = each.select(key, thread, position, F.explode("shingles").alias("s")).select(key, thread, position, "s.*")
+    first = each.groupBy(thread, "h").agg(F.min(F.struct(position, F.col(key).alias("ancestor"), F.col("n").alias("at"), F.col("next").alias("at_next"))).alias("f"))
+    common = each.join(first, [thread, "h"]).where(F.col(f"f.{position}") < F.col(position)).distinct()
+    match = F.struct("n", "next", "letters", "last", F.col("f.ancestor").cast("string").alias("ancestor"), "f.at", "f.at_next")
+
+    @F.arrow_udf("array<int>")
+    def align(lists: pa.Array) -> pa.Array:
+        return pa.array([inherited(m or []) for m in lists.to_pylist()], type=pa.list_(pa.int32()))
+
+    spans = common.groupBy(key).agg(F.collect_list(match).alias("m")).select(key, align(F.col("m")).alias("gone")).where(F.size("gone") > 0)
+
+    @F.arrow_udf("struct<text: string, md5: string>")
+    def drop(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        rows = []
+        for text, numbers in zip(texts.to_pylist(), gone.to_pylist()):
+            lines = [line for n, line in enumerate(text.split("\n")) if n not in set(numbers)] if numbers else []
+            rows.append({"text": "\n".join(lines), "md5": letters_md5(lines)} if numbers else None)
+        return pa.array(rows, type=pa.struct([("text", pa.string()), ("md5", pa.string())]))
+
+    changed = found.join(spans, key).select(key, drop(F.col("text"), F.col("gone")).alias("d")).select(key, "d.text", "d.md5", F.lit(True).alias("other"))
+    return found.join(spans, key, "left_anti").select(key, "text", "md5", "other").unionByName(changed)
