@@ -67,9 +67,6 @@ HEADER = re.compile(r"(?:^|[>\s|])(?:Von|From|De|An|To|Para|À|Cc|Kopie)\s?: ?$"
 INTRO = re.compile(r"(?:schrieb|geschrieben|hat|wrote|,|a écrit|escribió)\s$", re.I)
 CLOSING = re.compile(rf"(?:{WORDS}|Thx|Danke|Thanks|Merci|Gracias)(?:,? ?|[!.–-]\s?)$", re.I)
 ALONE_CLOSING = re.compile(rf"\s*(?:{WORDS}|Thx|Danke|Thanks|Merci|Gracias)(?:\s+aus\s+[\w .-]{{2,30}})?[,.!–-]?\s*$", re.I)
-SPEECH = re.compile(
-    r"(?:Kann|Könnte|Could|Can|Laut|vertritt mich|covers for me is|rufen Sie|[Pp]lease call|Konto von|account of|compte de|cuenta de|Konto:|Zugang anlegen für|Unterlagen von|papers of|Profil von|dossier de|perfil de|starter:|Ansprechpartner vor Ort ist|Fragen Sie|[Aa]sk|discussed this with|mit|und|oder|or|and|von|for|für|Ich bin|I am|hier ist|this is|Name:|nombre es|frag|bei|an|contact) $"
-)
 AFTER = re.compile(r"^(?:,? ?(?:<|&lt;|\()[^\s]*[@＠]|,? ?\(?[^\s]*@|:\s*$|,? (?:schrieb|wrote|a écrit|escribió|hat)\b|,?\s*(?:<|\()\s*$| (?:moved and|ist umgezogen|das morgen|look at it|s'en|back on|unter)\b|,\s*(?:steuer|Renten|Ausweis|Reisepass|SV|österr|tax|passport|ID card|SSN|social)|: ?(?:steuer|Steuer|Renten|Ausweis|Reisepass|SV|österr))", re.I)
 FIRM = re.compile(r"^(?:\s(?:&|und|and|y|et)\s[^\W\d_a-z]\S*\s(?:GmbH|AG|KG|Logistik|OHG|[^\W\d_a-z]\S*)|\s(?:[^\W\d_a-z]\S*\s){0,2}(?:GmbH|AG|KG|eG|Ltd|Inc|S\.?L|SE|SA|SARL|OHG|Logistik|Druck|Wohnbau|Medien|Kältetechnik|Metallbau|Anlagenbau)\b|\s&\s)")
 IN_FIRM = re.compile(r"(?:&|\bFa\.|\bFirma)\s$|[^\W\d_a-z]\S* (?:und|and|y) $")
@@ -134,7 +131,8 @@ def _anchored(text: str) -> set[tuple[str, str]]:
     """(word, 'g' or 's') of the names that stand where only a person's name does."""
     found: set[tuple[str, str]] = set()
     named = (m for a in ADDRESSED.finditer(text) if (m := BEFORE_ADDRESS.search(text, max(0, a.start() - 60), a.start())))
-    for rx, matches in ((ADDRESSED, named), (LEARN_TITLE, LEARN_TITLE.finditer(text)), (LEARN_HELLO, LEARN_HELLO.finditer(text))):
+    titled = LEARN_TITLE.finditer(text) if any(x in text for x in _LEARNED) else ()
+    for rx, matches in ((ADDRESSED, named), (LEARN_TITLE, titled), (LEARN_HELLO, LEARN_HELLO.finditer(text))):
         for m in matches:
             name = m["name"]
             given, family = _given_and_family(name)
@@ -147,6 +145,7 @@ def _anchored(text: str) -> set[tuple[str, str]]:
     return found
 
 
+_LEARNED = ("Herr", "Frau", "Hr.", "Fr.", "Mr", "Ms", "Mme", "M.", "Sr", "Dr.")
 _FULL = rf"(?:{_SUR}, {_W}|{_W}(?: [^\W\d_a-z]\.)?(?: {_SUR}){{1,2}})"
 ADDRESSED = re.compile(r" <[^\s<>]+[@＠]")
 BEFORE_ADDRESS = re.compile(rf"(?<![\w'’-])(?P<name>{_FULL})$")
@@ -225,34 +224,60 @@ def _titled(text: str, a: int, at: int) -> bool:
 _PARTICLES = frozenset("von van der den vom zum zur zu de la los del da di le ten ter Mac Mc O".split())
 
 
+#: What a left side ends with if the pattern of that name can match there; asked first, as that is much cheaper.
+_SPOKEN = tuple(
+    f"{x} "
+    for x in (
+        "Kann", "Könnte", "Could", "Can", "Laut", "vertritt mich", "covers for me is", "rufen Sie", "Please call", "please call", "Konto von", "account of", "compte de", "cuenta de", "Konto:", "Zugang anlegen für", "Unterlagen von",
+        "papers of", "Profil von", "dossier de", "perfil de", "starter:", "Ansprechpartner vor Ort ist", "Fragen Sie", "Ask", "ask", "discussed this with", "mit", "und", "oder", "or", "and", "von", "for", "für", "Ich bin", "I am", "hier ist",
+        "this is", "Name:", "nombre es", "frag", "bei", "an", "contact",
+    )
+)
+_GREETED = tuple(f"{x} " for x in "Hallo Hi Hello Hey Servus Moin Salut Bonjour Hola Dear Liebe Lieber Liebes Tag Morgen Abend morning day días Cher Chère Estimado Estimada Ahoj Cześć geehrte geehrter geehrtes".split())
+_CLOSED = ("dank", "danke", "mfg", "lg", "vg", "bg", "hochachtungsvoll", "regards", "wishes", "best", "cheers", "sincerely", "yours", "faithfully", "truly", "thanks", "cordialement", "salutations", "distinguées", "vous", "toi", "saludo", "saludos", "cordiales", "atentamente", "abrazo", "thx", "merci", "gracias")
+_FIRM_LEFT = ("&", "Fa.", "Firma", " und", " and", " y")
+_PLACE_LEFT = ("Rose and", "Rose und", "Drucker", "Server", "Firma", "Fa.", "Standort", "Empfang", "Ort", "aus")
+
+
+def _may_close(left: str) -> bool:
+    tail = left.rstrip(" ,!.–-\t\xa0").lower()
+    return tail.endswith(_CLOSED) or "gr" in tail[tail.rfind(" ") + 1 :] or tail[-1:] in ("ß", "e") and "gr" in tail
+
+
 def _name_votes(text: str, s: int, e: int, words: list[str], given: frozenset, family: frozenset) -> tuple[str, str] | None:
     left, right = _line_before(text, s), _line_after(text, e)
+    spaced = left[-1:].isspace()
     clean = [w.strip(",") for w in words]
     first, last = clean[0] in given, clean[-1] in family
     swapped = words[0].endswith(",")
     full = len(clean) > 1 and (first or swapped or clean[0][1:] == "." and last)
-    title = TITLE.search(left) is not None
-    greeting = GREETING.search(left) is not None
+    title = _titled(text, s - len(left), s) and TITLE.search(left) is not None
+    greeting = left.endswith(_GREETED) and GREETING.search(left) is not None
     rest = right.strip(" ,!-–.:")
-    bare = left.strip(" >|*") == "" or TITLE.fullmatch(left.lstrip(" >|*")) is not None
+    bare = left.strip(" >|*") == "" or title and TITLE.fullmatch(left.lstrip(" >|*")) is not None
     alone = bare and not rest
-    closing = CLOSING.search(left) is not None
+    closing = _may_close(left) and CLOSING.search(left) is not None
     if not closing and alone:
         above = text[max(0, s - 160) : s - len(left)].rstrip("\n >|").rsplit("\n", 1)[-1]
         closing = ALONE_CLOSING.match(above.lstrip("> |")) is not None or SIGNS.match(above.lstrip("> |")) is not None
-    place = "+" if title or closing or greeting and (not rest or full) or greeting and right[:1] in ",!" or HEADER.search(left) else "0"
-    talk = "+" if SPEECH.search(left) and (full or title or AFTER.match(right)) else "0"
+    after_right = AFTER.match(right) is not None
+    place = "+" if title or closing or greeting and (not rest or full) or greeting and right[:1] in ",!" or ":" in left[-3:] and HEADER.search(left) else "0"
+    talk = "+" if spaced and (full or title or after_right) and left.endswith(_SPOKEN) else "0"
     known = "+" if full else "0"
-    after = "+" if AFTER.match(right) or alone and (full or first and text[max(0, s - len(left) - 2) : s - len(left)] == "\n\n") else "0"
-    against = "-" if FIRM.match(right) or IN_FIRM.search(left) or TALK.match(right) or NOT_NAME_LEFT.search(left) or any(w.isupper() and len(w) > 2 for w in clean) and not (title or closing) else "0"
+    after = "+" if after_right or alone and (full or first and text[max(0, s - len(left) - 2) : s - len(left)] == "\n\n") else "0"
+    if FIRM.match(right) or TALK.match(right):
+        against = "-"
+    else:
+        before = left.rstrip() if spaced else ""
+        firm = before.endswith(_FIRM_LEFT) and IN_FIRM.search(left) or before.endswith(_PLACE_LEFT)
+        against = "-" if firm or any(w.isupper() and len(w) > 2 for w in clean) and not (title or closing) else "0"
     common = "-" if not full and not title and not closing and place == "0" and talk == "0" and after == "0" else "0"
-    if re.match(r" ?\d", right) and not full and not title:
+    if right[:2].strip()[:1].isdigit() and not full and not title:
         against = "-"
     return place + talk + known + after + against + common, f"{min(len(words), 3)}{'l' if bare else 'i'}{'f' if first else '-'}{'s' if last else '-'}"
 
 
 SIGNS = re.compile(r"(?:[-–—_*=~#]{2,}|—|–)\s*$")
-NOT_NAME_LEFT = re.compile(r"(?:Rose and|Rose und|Drucker|Server|Firma|Fa\.|Standort|Empfang|Ort|aus)\s$")
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
