@@ -14,6 +14,7 @@ from bisect import bisect_right
 from functools import lru_cache
 from html import unescape
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -282,7 +283,6 @@ SIGNS = re.compile(r"(?:[-–—_*=~#]{2,}|—|–)\s*$")
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d[\d \xa0()/.–+-]{4}|\d[A-Z]\d|[A-Z]\d")
-_AT_SIGN = re.compile(_AT, re.I)
 #: Words of which a line with a street that doesn't end in one has at least one.
 _STREET_WORDS = frozenset("An Auf Unter In Am Im Zum Zur Hinter Vor Hinterm Straße Strasse Str Weg Ring Platz Gasse Allee Pfad Markt C Calle Plaza Avenida Avda Paseo ul ulica al Camino rue avenue place boulevard bd allée chemin impasse quai route Street Road Lane Avenue Ave Drive Close Blvd Boulevard Square St Rd Ln Way Court Row Terrace Hill Yard".split())
 #: A word that ends like a street.
@@ -290,7 +290,12 @@ _STREET_END = re.compile(_STREET.replace("\\.", "") + r"(?![^\W\d_])")
 #: A number after or before a word, as house numbers stand.
 _NUMBERED = re.compile(r"[^\W\d_]\.?,?\s\d|\d(?:\s?(?:bis|ter|[a-z]))?,?\s[^\W\d_]")
 _DIGIT = re.compile(r"\d")
-_AT_SIGNS = ("at)", "at]", "at}", " at", "\xa0at", "\tat")
+_SPELLED = re.compile(rf"{_GAP}AT{_GAP}")
+#: Parts of the words that lead to identity numbers or follow them; a line without any has none.
+_ID_SIGNS = ahocorasick.Automaton()
+for _sign in ("steuer", "identifika", "versicher", "sv-n", "svnr", "rv-", "rvn", "ausweis", "pass", "id card", "tax id", "ssn", "social", "national", "sécurité", "carte d", "nir", "dni", "nie", "nif", "segur", "pesel", "rodné", "dowód", "number", "nummer", "numéro", "número"):
+    _ID_SIGNS.add_word(_sign, True)
+_ID_SIGNS.make_automaton()
 _TITLE_WORDS = frozenset("Herr Herrn Frau Hr Fr Mr Mrs Ms Miss Mme Mlle M Monsieur Madame Sr Sra Señor Señora Pan Pani paní pan Dr Prof ppa A V p".split())
 
 
@@ -304,7 +309,7 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
     """Adds the candidates of one line; no value runs over its end. What is asked first only rules out lines without any."""
     taken: list[tuple[int, int]] = []
     lower = line.lower()
-    if "@" in line or "＠" in line or ("at" in lower and any(x in lower for x in _AT_SIGNS) and _AT_SIGN.search(line)):
+    if "@" in line or "＠" in line or "AT" in line and _SPELLED.search(line) or "(at)" in lower or "[at]" in lower or "{at}" in lower:
         for m in EMAIL.finditer(seen, a, b):
             value = m[0]
             plain = "@" in value or "＠" in value
@@ -316,7 +321,7 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
     digits = _DIGIT.search(line) is not None
     if digits and _DIGITS.search(line):
         values = []
-        for m in ID.finditer(seen, a, b):
+        for m in ID.finditer(seen, a, b) if next(_ID_SIGNS.iter(lower), None) else ():
             if any(x < m.end() and m.start() < y for x, y in taken):
                 continue
             left, right = _line_before(seen, m.start()), seen[m.end() : m.end() + 30]
@@ -334,10 +339,10 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
             taken.append(m.span())
             cue = PHONE_CUE.search(left)
             out.append(("phone", m.start(), ("+" if grouped else "-") + ("+" if cue else "0") + ("-" if not cue and NOT_VALUE.search(left) else "0") + ("-" if date else "0"), re.sub(r"\d+", "0", m[0])[:12]))
-    near = digits and _NUMBERED.search(line) is not None
-    ends = near and _STREET_END.search(lower) is not None
+    ends = digits and _STREET_END.search(lower) is not None
+    near = digits and (ends or not _STREET_WORDS.isdisjoint(words)) and _NUMBERED.search(line) is not None
     for rx in (STREET, LOWER_STREET):
-        if not (ends or near and rx is STREET and not _STREET_WORDS.isdisjoint(words)):
+        if not near or rx is LOWER_STREET and not ends:
             continue
         for m in rx.finditer(seen, a, b):
             if any(x < m.end() and m.start() < y for x, y in taken):
