@@ -48,3 +48,20 @@ def test_renumber(spark):
     got = {r["id"]: r["i"] for r in renumber(df, ["g"], ["i", "id"], "i").collect()}
     assert [got[f"p{i:05d}"] for i in range(9000)] == list(range(9000))
     assert (got["q"], got["s"], got["r"]) == (0, 0, 1)
+
+
+def test_numbers_run_on_over_ranges(spark):
+    rows = [("a", None, i) for i in range(200)] + [("a", 1, 500), ("b", 2, 0), (None, 1, 1), (None, 0, 2)]
+    df = spark.createDataFrame(rows, "g string, k int, id int").repartition(3)
+    found = renumber(df, ["g"], ["k", "id"], "k", ranges=7).collect()
+    by_group = {}
+    for r in found:
+        by_group.setdefault(r["g"], []).append((r["k"], r["id"]))
+    assert sorted(by_group["a"]) == [(0, 500)] + [(i + 1, i) for i in range(200)]
+    assert by_group["b"] == [(0, 0)] and sorted(by_group[None]) == [(0, 2), (1, 1)]
+
+
+def test_paragraphs_with_carriage_returns():
+    paragraphs = [("Satz eins. " * 9).strip() for _ in range(6)]
+    pieces = split_text("\r\n\r\n".join(paragraphs), 250, 0)
+    assert all(p.startswith("Satz") and p.rstrip().endswith("eins.") and len(p) <= 250 for p in pieces) and len(pieces) == 3

@@ -96,7 +96,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
 def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """(item, piece_no, first_unit, n_units, container): every item of a table in a container of fixed capacity.
 
-    ``key`` must be unique; ties of size are taken in the order of the key. An item larger than the capacity is cut
+    ``key`` must be unique. Ties of size are taken in the order of a hash of the key, then of the key. An item larger than the capacity is cut
     into full containers and a rest that is packed like any item (piece_no from 0, first_unit its offset). Items with
     size 0, less or null take no room: container is null and n_units 0. An empty table gives no rows. Other columns
     are ignored.

@@ -14,18 +14,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import stored
+
 LIMIT = 1800
 OVERLAP = 200
 #: A cut is made after each match. From coarse to fine; below words, texts are cut between characters.
 SEPARATORS = [
-    re.compile(r"\n(?:[ \t]*\n){2,}|\f|\n(?=#{1,6} )|\n(?:={3,}|-{3,}|\*{3,}|_{3,})[ \t]*(?:\n|$)"),
-    re.compile(r"\n[ \t ]*\n| "),
+    re.compile(r"(?:\r\n|\n|\r(?!\n))(?:[ \t]*(?:\r\n|\n|\r(?!\n))){2,}|\f|\n(?=#{1,6} )|\n(?:={3,}|-{3,}|\*{3,}|_{3,})[ \t]*(?:\r?\n|$)"),
+    re.compile(r"(?:\r\n|\n|\r(?!\n))[ \t\xa0]*(?:\r\n|\n|\r(?!\n))| "),
     re.compile(r"\r\n|[\n\r \x0b\x85]"),
     re.compile(r"[.!?…;։؟۔।॥][\"'“”’»)\]]*\s+|[。！？．][」』”）]*\s*"),
     re.compile(r"\s+"),
 ]
 
 
+def _in_cluster(text: str, at: int) -> bool:
+    """Whether a cut before this character would part it from what it is written with."""
+    return unicodedata.combining(text[at]) != 0 or text[at] in "\u200d\ufe0e\ufe0f" or text[at - 1] == "\u200d"
+
+
 def _units(text: str, start: int, end: int, size: int, level: int, out: list[int]) -> None:
     """Adds the ends of the units of text[start:end], each at most ``size`` long."""
     if end - start <= size:
@@ -41,9 +48,8 @@ def _units(text: str, start: int, end: int, size: int, level: int, out: list[int
     else:
         while end - start > size:
             at = start + size
-            for back in range(min(32, size - 1)):  # not inside a cluster of characters
-                c = text[at - back]
-                if not (unicodedata.combining(c) or c in "‍︎️" or text[at - back - 1] == "‍"):
+            for back in range(min(32, size - 1)):
+                if not _in_cluster(text, at - back):
                     at -= back
                     break
             out.append(at)
@@ -60,6 +66,8 @@ def _overlap_start(text: str, begin: int, end: int, overlap: int) -> int:
         for match in separator.finditer(text, max(begin, low - 1), end):
             if low <= match.end() < end:
                 return match.end()
+    while low < end and _in_cluster(text, low):
+        low += 1
     return low
 
 
@@ -101,19 +109,23 @@ def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int =
     return pieces.select(*[c for c in df.columns if c in kept or c == text], "piece_no", "n_pieces")
 
 
-def renumber(df: DataFrame, group: list[str], order: list[str], index: str, block: int = 4096) -> DataFrame:
+def renumber(df: DataFrame, group: list[str], order: list[str], index: str, ranges: int | None = None) -> DataFrame:
     """Replaces ``index`` by the position of the row in its group, from 0, in the given order (nulls last).
 
-    A group is numbered in blocks of the old index: counts of blocks give each block's first number, so that no task
-    needs a whole group. Null keys form a group of their own.
+    ``order`` must tell a group's rows apart, else their numbers among equals are arbitrary. Rows are sorted over ranges of
+    group and order, so one group may fill many tasks; the counts of each group in each range give where the range goes
+    on numbering. Only keys are sorted and counted before the rows are joined again. Null keys form a group of their own.
     """
-    at = F.when(F.col(index).isNull(), F.lit(None)).otherwise(F.floor(F.col(index) / block))
-    rows = df.withColumn("__block", at.cast("long"))
-    keys = [*group, "__block"]
-    per_block = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy(F.col("__block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    first = per_block.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    joined = rows.join(first, [rows[k].eqNullSafe(first[f"__k{i}"]) for i, k in enumerate(keys)])
-    within = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    numbered = joined.withColumn(index, (F.col("__first") + F.row_number().over(within) - 1).cast("int"))
-    return numbered.select(*df.columns)
+    keys = [*group, *order]
+    by = [F.col(c).asc_nulls_last() for c in keys]
+    whole = stored(df.withColumn("__u", F.monotonically_increasing_id()))  # stored, as the ids aren't the same when made again
+    narrow = whole.select("__u", *keys)
+    ranged = (narrow.repartitionByRange(ranges, *by) if ranges else narrow.repartitionByRange(*by)).withColumn("__r", F.spark_partition_id())
+    ranged = stored(ranged)
+    per_range = ranged.groupBy(*group, "__r").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range a group fills
+    first = per_range.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(group)], F.col("__r").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    within = Window.partitionBy(*group, "__r").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    numbered = ranged.withColumn("__k", F.row_number().over(within))
+    numbered = numbered.join(first, [F.col("__r") == F.col("__q"), *[F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(group)]])
+    return whole.drop(index).join(numbered.select("__u", (F.col("__first") + F.col("__k") - 1).cast("int").alias(index)), "__u").select(*df.columns)
