@@ -1,4 +1,4 @@
-from threadloom.llm.personal import candidates, estimate, personal_data, visible
+from threadloom.llm.personal import candidates, estimate, personal_data, redacted, redacted_text, visible
 
 MAIL = """Hallo Frau Kolkmeyr,
 
@@ -31,3 +31,26 @@ def test_positions_in_markup():
 
 def test_votes():
     assert estimate([("phone", "++0", "x", 50), ("phone", "+0-", "x", 50)]) == {("phone", "++0", "x")}
+
+
+def test_redaction_keeps_all_else(spark):
+    rows = [(i, MAIL) for i in range(20)] + [(100, None), (101, ""), (102, "Im Sommer ist es warm.")]
+    got = {r["id"]: r["redacted"] for r in redacted(spark.createDataFrame(rows, "id long, body string"), ["id"], "body").collect()}
+    assert (got[100], got[101], got[102]) == (None, "", "Im Sommer ist es warm.")
+    assert got[0] == """Hallo Frau [NAME],
+
+Bitte rufen Sie [NAME] unter [PHONE] an. Wohnhaft: [STREET_ADDRESS]. Die Steuer-ID lautet [ID_NUMBER].
+Die Auftragsnummer 4500519664 passt nicht, die Lizenz endet am 03.09.2022. Berg und Sommer Logistik ist zu.
+
+Von: [NAME] <[EMAIL]>
+Von: [NAME] <[EMAIL]>
+
+Viele Grüße
+[NAME]
+[EMAIL]
+"""
+
+
+def test_redaction_in_markup():
+    text = '<p>K&ouml;nnen Sie <a href="mailto:a.b@x.example">a.b&#64;x.example</a>&nbsp;<b>+49 30 555 0123</b> antworten?</p>'
+    assert redacted_text(text, candidates(text, frozenset(), frozenset())) == '<p>K&ouml;nnen Sie <a href="mailto:[EMAIL]">[EMAIL]</a>&nbsp;<b>[PHONE]</b> antworten?</p>'

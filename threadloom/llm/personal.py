@@ -209,7 +209,7 @@ def _name_candidates(text: str, given: frozenset, family: frozenset, taken: list
             words = [w for _, w in g if w.rstrip("'’,") not in _PARTICLES]
             vote = _name_votes(text, s, e, words, given, family)
             if vote:
-                out.append(("name", s, *vote))
+                out.append(("name", s, *vote, e))
                 done = e
     return out
 
@@ -316,7 +316,7 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
             if not plain and not re.search(r"\[|\(|\{| AT ", value):
                 continue
             taken.append(m.span())
-            out.append(("email", m.start(), "+" + ("+" if plain else "0") + ("-" if seen[max(0, m.start() - 3) : m.start()] == "://" else "0"), "plain" if plain else "spelled"))
+            out.append(("email", m.start(), "+" + ("+" if plain else "0") + ("-" if seen[max(0, m.start() - 3) : m.start()] == "://" else "0"), "plain" if plain else "spelled", m.end()))
     words = _LETTERS.findall(line)
     digits = _DIGIT.search(line) is not None
     if digits and _DIGITS.search(line):
@@ -328,7 +328,7 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
             cue, profile, wrong = ID_CUE.search(left), ID_PROFILE.search(left) and ID_AFTER.match(right), NOT_VALUE.search(left)
             if cue or profile:
                 values.append(m.span())
-                out.append(("id_number", m.start(), ("+" if cue else "0") + ("+" if profile else "0") + ("-" if wrong and not cue else "0"), re.sub(r"[A-Za-z]", "A", re.sub(r"\d+", "0", m[0]))))
+                out.append(("id_number", m.start(), ("+" if cue else "0") + ("+" if profile else "0") + ("-" if wrong and not cue else "0"), re.sub(r"[A-Za-z]", "A", re.sub(r"\d+", "0", m[0])), m.end()))
         taken += values
         for m in PHONE.finditer(seen, a, b):
             if not 6 <= sum(c.isdigit() for c in m[0]) <= 16 or any(x < m.end() and m.start() < y for x, y in taken):
@@ -338,7 +338,7 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
             date = re.match(r"\d\d[./-]\d\d[./-]\d{2,4}|\d{4}-\d\d-\d\d|\d{1,3}(?:\.\d{1,3}){3}$", m[0]) is not None
             taken.append(m.span())
             cue = PHONE_CUE.search(left)
-            out.append(("phone", m.start(), ("+" if grouped else "-") + ("+" if cue else "0") + ("-" if not cue and NOT_VALUE.search(left) else "0") + ("-" if date else "0"), re.sub(r"\d+", "0", m[0])[:12]))
+            out.append(("phone", m.start(), ("+" if grouped else "-") + ("+" if cue else "0") + ("-" if not cue and NOT_VALUE.search(left) else "0") + ("-" if date else "0"), re.sub(r"\d+", "0", m[0])[:12], m.end()))
     ends = digits and _STREET_END.search(lower) is not None
     near = digits and (ends or not _STREET_WORDS.isdisjoint(words)) and _NUMBERED.search(line) is not None
     for rx in (STREET, LOWER_STREET):
@@ -351,15 +351,15 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
             cue = PLACE_CUE.search(left) is not None or left.strip(" >|*") == ""
             wrong = NOT_STREET.search(m[0]) is not None or MACHINES.match(seen, m.end()) is not None
             taken.append(m.span())
-            out.append(("street_address", m.start(), "+" + ("+" if cue else "0") + ("+" if POSTCODE.match(right) else "0") + ("-" if wrong else "0"), re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", m[0]))[:12]))
+            out.append(("street_address", m.start(), "+" + ("+" if cue else "0") + ("+" if POSTCODE.match(right) else "0") + ("-" if wrong else "0"), re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", m[0]))[:12], _address_end(seen, m.end(), b)))
     if (given or family) and not pieces.isdisjoint(words):
         out += _name_candidates(seen, given, family, taken, a, b)
 
 
-def candidates(text: str, given: frozenset, family: frozenset) -> list[tuple[str, int, str, str]]:
-    """(type, position in the raw text, votes, shape) of everything in a text that looks like a value."""
+def candidates(text: str, given: frozenset, family: frozenset) -> list[tuple[str, int, str, str, int]]:
+    """(type, position in the raw text, votes, shape, end) of everything in a text that looks like a value."""
     seen, ours, raws = visible(text)
-    out: list[tuple[str, int, str, str]] = []
+    out: list[tuple[str, int, str, str, int]] = []
     pieces = _pieces(given, family)
     start = 0
     for line in seen.split("\n"):
@@ -367,15 +367,45 @@ def candidates(text: str, given: frozenset, family: frozenset) -> list[tuple[str
             _line_candidates(seen, start, start + len(line), line, given, family, pieces, out)
         start += len(line) + 1
     if len(ours) > 1:
-        out = [(t, raws[i] + min(p - ours[i], max(0, (raws[i + 1] if i + 1 < len(raws) else len(text)) - raws[i] - 1)), v, k) for t, p, v, k in out for i in [bisect_right(ours, p) - 1]]
+        ours.append(len(seen) + 1)
+        raws.append(len(text))
+
+        def raw(p: int) -> int:
+            i = bisect_right(ours, p) - 1
+            return raws[i] + min(p - ours[i], max(0, raws[i + 1] - raws[i] - 1))
+
+        def raw_end(p: int) -> int:
+            i = bisect_right(ours, p - 1) - 1
+            return raws[i + 1] if p == ours[i + 1] else raws[i] + p - ours[i]
+
+        out = [(t, raw(p), v, k, raw_end(e)) for t, p, v, k, e in out]
         if "mailto:" in text or "tel:" in text:
             for m in TAG.finditer(text):
                 if m[4] and (link := _LINK.search(m[4])):
                     kind = "email" if m[4][link.start() : link.start() + 1] in "mM" else "phone"
-                    out.append((kind, m.start(4) + link.start(1), "++00"[: 3 if kind == "email" else 4], "link"))
+                    out.append((kind, m.start(4) + link.start(1), "++00"[: 3 if kind == "email" else 4], "link", m.start(4) + link.end(1)))
     return out
 
 
+#: What may follow street and house number: flat, postcode, place.
+_ADDRESS_TAIL = re.compile(rf"(?:,?\s(?:Unit|Apt\.?|Suite|Flat|Whg\.?|Etage|\d+\.º)\s?\w*\.?)?(?:\s?(?:,|in|\(|[-–|])?\s?(?:[A-Z]{{1,2}}-)?\d{{4,5}}\s(?:St\.\s|Bad\s)?{_CAP}\)?|,\s(?:St\.\s|Bad\s)?{_CAP}(?=[.,;]|$))?")
+
+
+def _address_end(text: str, at: int, line_end: int) -> int:
+    tail = _ADDRESS_TAIL.match(text, at, line_end)
+    return tail.end() if tail else at
+
+
+def redacted_text(text: str, found: list[tuple[str, int, str, str, int]]) -> str:
+    """The text with a placeholder such as [EMAIL] in the place of each value, all else unchanged; of overlapping values the first counts."""
+    parts, at = [], 0
+    for kind, start, _, _, end in sorted(found, key=lambda c: (c[1], -c[4])):
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+            at = end
+    return "".join([*parts, text[at:]])
+
+
 _ARROW = pa.list_(pa.struct([("pii_type", pa.string()), ("start_pos", pa.int32()), ("votes", pa.string()), ("shape", pa.string())]))
 
 
@@ -425,19 +455,20 @@ def estimate(counts: list[tuple[str, str, str, int]], rounds: int = 25) -> set[t
     return kept
 
 
-def personal_data(df: DataFrame, keys: list[str], text: str, least: int = 2) -> DataFrame:
-    """One row (keys, pii_type, start_pos) for each value in the texts; null texts have none.
-
-    What stays on the driver is the list of name words seen at least ``least`` times and the counts of equal votes.
-    """
-    spark = df.sparkSession
+def _names(df: DataFrame, text: str, least: int):
+    """The given names and surnames of a collection, sent to all tasks: words seen at least ``least`` times where only names stand."""
 
     @F.arrow_udf("array<struct<word: string, role: string>>")
     def learn(texts: pa.Array) -> pa.Array:
         return pa.array([[{"word": w, "role": r} for w, r in _anchored(visible(t)[0])] if t else [] for t in texts.to_pylist()], type=pa.list_(pa.struct([("word", pa.string()), ("role", pa.string())])))
 
     seen = df.select(F.explode(learn(df[text])).alias("w")).groupBy("w.word", "w.role").count().where(F.col("count") >= least).collect()
-    shared = spark.sparkContext.broadcast(name_words({(r["word"], r["role"]): r["count"] for r in seen}, least))
+    return df.sparkSession.sparkContext.broadcast(name_words({(r["word"], r["role"]): r["count"] for r in seen}, least))
+
+
+def _fitted(df: DataFrame, keys: list[str], text: str, least: int):
+    """(names, candidates of all texts, the kinds of candidates that are values)."""
+    shared = _names(df, text, least)
 
     @F.arrow_udf("array<struct<pii_type: string, start_pos: int, votes: string, shape: string>>")
     def look(texts: pa.Array) -> pa.Array:
@@ -446,8 +477,36 @@ def personal_data(df: DataFrame, keys: list[str], text: str, least: int = 2) ->
 
     found = cut(df.select(*keys, F.explode(look(df[text])).alias("c")).select(*keys, "c.*").distinct())
     counts = [tuple(r) for r in found.groupBy("pii_type", "votes", "shape").count().collect()]
-    kept = sorted(estimate(counts))
+    return shared, found, sorted(estimate(counts))
+
+
+def personal_data(df: DataFrame, keys: list[str], text: str, least: int = 2) -> DataFrame:
+    """One row (keys, pii_type, start_pos) for each value in the texts; null texts have none.
+
+    What stays on the driver is the list of name words seen at least ``least`` times and the counts of equal votes.
+    """
+    _, found, kept = _fitted(df, keys, text, least)
     if not kept:
         return found.select(*keys, "pii_type", "start_pos").limit(0)
-    values = spark.createDataFrame(kept, "pii_type string, votes string, shape string")
+    values = df.sparkSession.createDataFrame(kept, "pii_type string, votes string, shape string")
     return found.join(F.broadcast(values), ["pii_type", "votes", "shape"], "left_semi").select(*keys, "pii_type", "start_pos").distinct()
+
+
+def redacted(df: DataFrame, keys: list[str], text: str, out: str = "redacted", least: int = 2) -> DataFrame:
+    """Adds each text with typed placeholders for its values, by the same model as ``personal_data``; null stays null.
+
+    Texts without values come out as they are. Other columns pass through; one named ``out`` is replaced.
+    """
+    shared, _, kept = _fitted(df, keys, text, least)
+    values = df.sparkSession.sparkContext.broadcast(frozenset(kept))
+
+    @F.arrow_udf("string")
+    def replace(texts: pa.Array) -> pa.Array:
+        names, wanted = shared.value, values.value
+        rows = []
+        for t in texts.to_pylist():
+            found = [c for c in candidates(t, names["g"], names["s"]) if (c[0], c[2], c[3]) in wanted] if t else []
+            rows.append(redacted_text(t, found) if found else t)
+        return pa.array(rows, type=pa.string())
+
+    return df.withColumn(out, replace(df[text]))
