@@ -42,15 +42,15 @@ NOT_VALUE = re.compile(r"(?:zählerstand|meter reads|compteur|contador|auftrag\w
 PHONE_CUE = re.compile(r"(?:tel|telefon|fon|fax|mobil|handy\w*|phone|ph|cell|mobile|direct|durchwahl|dienstl|privat|móvil|tél|téléphone|portable|\bT|\bM|\bF|unter|erreichbar|ruf\w*|call\w*|back on|me at|joindre au|llamarme al|abends(?: oder)?|tagsüber|☎|\|)[\s.:)(]*(?:\w{2,9}\s)?$", re.I)
 
 _STREET = r"(?:straße|strasse|str\.|weg|ring|platz|gasse|allee|wall|chaussee|hof|damm|ufer|stieg|steig|pfad|markt|graben|zeile|winkel|promenade)"
-_HOUSE = r"\d{1,4}(?:\s?[a-zA-Z](?![\w.]))?(?:\s?[-–/]\s?\d{1,4}(?:\s?[a-z](?!\w))?)?(?![\w:%]|[.,]\d|\s?(?:Uhr|Minuten|GB|Zeilen))"
+_HOUSE = r"\d{1,4}(?:[a-zA-Z](?!\w|\.\w)|\s[a-zA-Z](?![\w.]))?(?:\s?[-–/]\s?\d{1,4}(?:\s?[a-z](?!\w))?)?(?![\w:%]|[.,]\d|\s?(?:Uhr|Minuten|GB|Zeilen))"
 _CAP = r"[^\W\d_a-zß][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 STREET = re.compile(
-    rf"(?<![\w@.-])(?:(?:[^\W\d_][\w.]*-)*[^\W\d_]+{_STREET}|{_CAP}[ -](?:Straße|Strasse|Str\.|Weg|Ring|Platz|Gasse|Allee|Pfad|Markt)|(?:An der|An den|Auf der|Auf dem|Unter den|In der|In den|Am|Im|Zum|Zur|Hinter der|Vor dem|Hinterm)(?: {_CAP}){{1,2}}),?\s{_HOUSE}"
+    rf"(?<![\w@.-])(?:(?:[^\W\d_][\w.]*-)*[^\W\d_]+{_STREET}|(?:[^\W\d_][\w.]*-)*{_CAP}[ -](?:Straße|Strasse|Str\.|Weg|Ring|Platz|Gasse|Allee|Pfad|Markt|Chaussee|Damm|Ufer|Wall|Graben|Stieg|Steig|Promenade|Zeile|Winkel)|(?:An der|An den|Auf der|Auf dem|Unter den|In der|In den|Am|Im|Zum|Zur|Hinter der|Vor dem|Hinterm)(?: {_CAP}){{1,2}}),?\s{_HOUSE}"
     rf"|(?<![\w@.-])(?:C/|Calle|Plaza|Avenida|Avda\.|Paseo|ul\.|ulica|al\.|Camino)\s?(?:(?:del?|la|los|las|el)\s)*{_CAP}(?:\s(?:del?|la|los|las|el|{_CAP}))*,?\s{_HOUSE}"
     rf"|(?<![\w@./:,-])\d{{1,4}}(?:\s?(?:bis|ter|[a-z]))?,?\s(?:rue|avenue|place|boulevard|bd|allée|chemin|impasse|quai|route)\s(?:(?:d[eu]s?|la|l')\s?)*{_CAP}(?:-{_CAP})*"
-    rf"|(?<![\w@./:,-])\d{{1,4}}[a-z]?\s(?:{_CAP}\s|St\.\s){{1,3}}(?:Street|Road|Lane|Avenue|Ave\.?|Drive|Close|Blvd\.?|Boulevard|Square|St\.|Rd\.|Ln\.|Way|Court|Row|Terrace|Hill|Yard)(?!\w)",
+    rf"|(?<![\w@./:,-])\d{{1,4}}[a-z]?\s(?:{_CAP}\s|St\.\s|[A-Z]\.\s){{1,3}}(?:Street|Road|Lane|Avenue|Ave\.?|Drive|Close|Blvd\.?|Boulevard|Square|St\.|Rd\.|Ln\.|Way|Court|Row|Terrace|Hill|Yard)(?!\w)",
 )
-LOWER_STREET = re.compile(rf"(?<![\w@.-])(?:[^\W\d_][\w.]*-)*[^\W\d_]{{3,}}(?:straße|strasse|str\.|allee|chaussee|weg|ring|gasse|platz)\s{_HOUSE}", re.I)
+LOWER_STREET = re.compile(rf"(?<![\w@.-])(?:(?:[^\W\d_][\w.]*-)+|(?:[^\W\d_][\w.]*-)*[^\W\d_]{{3,}})(?:straße|strasse|str\.|allee|chaussee|weg|ring|gasse|platz)\s{_HOUSE}", re.I)
 PLACE_CUE = re.compile(r"(?:wohnhaft:?|anschrift:?|adresse:?|address:?|lives at|wohnt(?: jetzt)?(?: in der| im| am| in)?|nach|sitzt der techniker in der|in der|an|to|au|va a|geliefert|domicilié au|sede:?)\s*$", re.I)
 POSTCODE = re.compile(r"\s*(?:,|in|\(|\n|[-–|])?\s*(?:\d{5}|[A-Z]{1,2}\d)\b")
 NOT_STREET = re.compile(r"^(?:Am|Im|In der|Auf der|An der|Zum|Zur)\s(?:Tor|Raum|Halle|Port|Stock|Terminal|Display|Platz|Gerät|Server|Drucker|Monitor|Schalter|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Mo\w*tag|Dienstag|Mittwoch|Donnerstag|Freitag|Sa\w*tag|Sonntag|Seite|Zeile|Kasse|Waage|Switch|Abschnitt|Ordner|Feld|Ticket|Profil|Build|Version|Anhang|Code|Fehler|Uhr|Jahr|Rack|Slot|Kanal)\b|^(?:Arbeits|Steck|Speicher|Stell)\w*\s\d", re.I)
@@ -58,8 +58,8 @@ MACHINES = re.compile(r"\s(?:und|and|et|y)\s\S+\s\d+\s(?:stehen|sind|are|sont|es
 
 _W = r"(?:[^\W\d_a-zß](?:[^\W\d_]|['’](?=[^\W\d_]))*(?:-[^\W\d_a-zß](?:[^\W\d_]|['’](?=[^\W\d_]))+|-(?=[^\W\d_]))*(?:[^\W\d_])*|al-[^\W\d_]+(?:-[^\W\d_]+)*)"
 _PART = r"(?:von der|van der|van den|von|van|vom|zum|zur|zu|de la|de los|del|de|der|den|da|di|la|le|ten|ter|Mac|Mc|O['’])"
-_SUR = rf"(?:{_PART} )*{_W}"
-NAME = re.compile(rf"(?<![\w@.'’/\\-])(?:[^\W\d_a-z]\.|{_W})(?: [^\W\d_a-z]\.)*(?: {_SUR}){{0,3}}|(?<![\w@.'’/\\-]){_PART} {_SUR}(?: [^\W\d_a-z]\.)*(?: {_SUR}){{0,2}}")
+_SUR = rf"(?:{_PART} )*(?![^\W\d_]\. ){_W}"
+NAME = re.compile(rf"(?<![\w@.'’/\\-])(?:[^\W\d_a-z]\.|{_W})(?: [^\W\d_a-z]\.)*(?: {_SUR}){{0,3}}|(?<![\w@.'’/\\-]){_PART} (?![^\W\d_]\. ){_SUR}(?: [^\W\d_a-z]\.)*(?: {_SUR}){{0,2}}")
 COMMA_NAME = re.compile(rf"(?<![\w@.'’/\\-]){_SUR}, {_W}(?!\w)")
 _ACADEMIC = r"(?:(?:Dr|Prof|Dipl\.-\w+|Mag|Ing|Lic)\.?(?:-Ing\.)? )*"
 TITLE = re.compile(rf"(?:(?<!\w)(?:Herrn?|Frau|Hr\.|Fr\.|Mr\.?|Mrs\.?|Ms\.?|Miss|Mme|Mlle|M\.|Monsieur|Madame|Sr\.|Sra\.|Señora?|Pan|Pani|paní|pan|Dr\.|Prof\.|ppa\.|i\. ?[AV]\.|p\. ?p\.) ){_ACADEMIC}$")
@@ -125,7 +125,8 @@ def _is_word(word: str) -> bool:
 
 def name_words(counts: dict[tuple[str, str], int], least: int) -> dict[str, frozenset]:
     """The given names (g) and surnames (s); a word counts as both only if it is often enough seen as either."""
-    return {role: frozenset(w for (w, r), n in counts.items() if r == role and n >= least and n >= 0.2 * counts.get((w, other), 0)) for role, other in ("gs", "sg")}
+    words = {role: {w for (w, r), n in counts.items() if r == role and n >= least and n >= 0.2 * counts.get((w, other), 0)} for role, other in ("gs", "sg")}
+    return {role: frozenset(known | {w.upper() for w in known if len(w) > 2}) for role, known in words.items()}
 
 
 def _anchored(text: str) -> set[tuple[str, str]]:
@@ -164,7 +165,7 @@ def _name_candidates(text: str, given: frozenset, family: frozenset, taken: list
     commas = {s for s, _ in spans}
     for m in NAME.finditer(text, a, b):
         parts = m[0].split()
-        if not (given.isdisjoint(parts) and family.isdisjoint(parts)) or _titled(text, a, m.start()):
+        if not (given.isdisjoint(parts) and family.isdisjoint(parts) and _ADDRESS.isdisjoint(parts)) or _titled(text, a, m.start()):
             spans.append(m.span())
     spans.sort(key=lambda x: (x[0], -x[1]))
     for start, end in spans:
@@ -197,7 +198,14 @@ def _name_candidates(text: str, given: frozenset, family: frozenset, taken: list
             group.append(now)
             if not any(w in given or w in family for g in group for _, w in g):  # an unknown name is told by what leads to it
                 left = _line_before(text, start)
-                group = [tokens[:3]] if TITLE.search(left) and not re.match(r"[A-Z]{2,}\b|" + "|".join(NOBODY), tokens[0][1]) else []
+                at = next((i for i in range(len(tokens) - 1, -1, -1) if tokens[i][1] in _ADDRESS), None)
+                if at is not None:  # the form of address is part of the run of capital words
+                    rest = tokens[at + 1 :]
+                    while rest and rest[0][1] in _ACADEMICS:
+                        rest = rest[1:]
+                    group = [rest[:1]] if rest and not re.match(r"[A-ZÄÖÜ]{2,}\b|(?:" + "|".join(NOBODY) + r")\b", rest[0][1]) else []
+                else:
+                    group = [tokens[:3]] if TITLE.search(left) and not re.match(r"[A-Z]{2,}\b|(?:" + "|".join(NOBODY) + r")\b", tokens[0][1]) else []
         for g in group:
             while g and g[-1][1].rstrip("'’") in _PARTICLES or g and len(g[-1][1]) == 2 and g[-1][1][1] == ".":
                 g = g[:-1]
@@ -222,6 +230,8 @@ def _titled(text: str, a: int, at: int) -> bool:
     return word[-1:] == "." or word.lstrip("<>(\"'|*-:;,/") in _TITLE_WORDS or word[-1:].isalpha() and _LETTERS.findall(word)[-1] in _TITLE_WORDS
 
 
+_ADDRESS = frozenset("Herr Herrn Frau Hr. Fr. Mr Mr. Mrs Mrs. Ms Ms. Mme Monsieur Madame".split())
+_ACADEMICS = frozenset("Dr. Prof. Mag. Ing. Lic. Dr Prof".split())
 _PARTICLES = frozenset("von van der den vom zum zur zu de la los del da di le ten ter Mac Mc O".split())
 
 
@@ -271,7 +281,7 @@ def _name_votes(text: str, s: int, e: int, words: list[str], given: frozenset, f
     else:
         before = left.rstrip() if spaced else ""
         firm = before.endswith(_FIRM_LEFT) and IN_FIRM.search(left) or before.endswith(_PLACE_LEFT)
-        against = "-" if firm or any(w.isupper() and len(w) > 2 for w in clean) and not (title or closing) else "0"
+        against = "-" if firm or any(w.isupper() and len(w) > 2 for w in clean) and not (title or closing or full and last) else "0"
     common = "-" if not full and not title and not closing and place == "0" and talk == "0" and after == "0" else "0"
     if right[:2].strip()[:1].isdigit() and not full and not title:
         against = "-"
@@ -284,7 +294,7 @@ SIGNS = re.compile(r"(?:[-–—_*=~#]{2,}|—|–)\s*$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d[\d \xa0()/.–+-]{4}|\d[A-Z]\d|[A-Z]\d")
 #: Words of which a line with a street that doesn't end in one has at least one.
-_STREET_WORDS = frozenset("An Auf Unter In Am Im Zum Zur Hinter Vor Hinterm Straße Strasse Str Weg Ring Platz Gasse Allee Pfad Markt C Calle Plaza Avenida Avda Paseo ul ulica al Camino rue avenue place boulevard bd allée chemin impasse quai route Street Road Lane Avenue Ave Drive Close Blvd Boulevard Square St Rd Ln Way Court Row Terrace Hill Yard".split())
+_STREET_WORDS = frozenset("Chaussee Damm Ufer Wall Graben Stieg Steig Promenade Zeile Winkel An Auf Unter In Am Im Zum Zur Hinter Vor Hinterm Straße Strasse Str Weg Ring Platz Gasse Allee Pfad Markt C Calle Plaza Avenida Avda Paseo ul ulica al Camino rue avenue place boulevard bd allée chemin impasse quai route Street Road Lane Avenue Ave Drive Close Blvd Boulevard Square St Rd Ln Way Court Row Terrace Hill Yard".split())
 #: A word that ends like a street.
 _STREET_END = re.compile(_STREET.replace("\\.", "") + r"(?![^\W\d_])")
 #: A number after or before a word, as house numbers stand.
@@ -388,7 +398,7 @@ def candidates(text: str, given: frozenset, family: frozenset) -> list[tuple[str
 
 
 #: What may follow street and house number: flat, postcode, place.
-_ADDRESS_TAIL = re.compile(rf"(?:,?\s(?:Unit|Apt\.?|Suite|Flat|Whg\.?|Etage|\d+\.º)\s?\w*\.?)?(?:\s?(?:,|in|\(|[-–|])?\s?(?:[A-Z]{{1,2}}-)?\d{{4,5}}\s(?:St\.\s|Bad\s)?{_CAP}\)?|,\s(?:St\.\s|Bad\s)?{_CAP}(?=[.,;]|$))?")
+_ADDRESS_TAIL = re.compile(rf"(?:\s[a-z](?!\w))?(?:,?\s(?:Unit|Apt\.?|Suite|Flat|Whg\.?|Etage|\d+\.º)\s?\w*\.?)?(?:\s?(?:,|in|\(|[-–|])?\s?(?:[A-Z]{{1,2}}-)?\d{{4,5}}\s(?:St\.\s|Bad\s)?{_CAP}\)?|\s\((?:St\.\s|Bad\s)?{_CAP}\)|,\s(?:St\.\s|Bad\s)?{_CAP}(?=[.,;]|$))?")
 
 
 def _address_end(text: str, at: int, line_end: int) -> int:
