@@ -111,3 +111,10 @@ def test_copies_of_a_thread_keep_the_first(spark):
 def test_words_of_law_within_a_report_are_the_senders(spark):
     lines, other = newtext.new_lines("The confidentiality banner is cut off in print. The folder is empty.")
     assert lines == ["The confidentiality banner is cut off in print. The folder is empty."] and not other
+
+
+def test_signatures_without_closing_words():
+    for tail in (["Odile al-Sayedi", "540 Old Foundry Avenue, Havelbrück", "https://ostertor.test"], ["Dr. Ulf Stein", "2nd-Level-Support", "30, avenue du Vieux-Pont, 00522 Oberlohe", "07131/555164"], ["Käthe Stein", "Lumbreda Textil S.L.", "834 W. Quarry St.", "C/ Herrería 25, 3.º izq.", "(555) 010-9506"]):
+        assert newtext.new_lines("\n".join(["Die Waage hängt.", "", *tail])) == (["Die Waage hängt."], True)
+    assert newtext.new_lines("The scale hangs. BR Łucja") == (["The scale hangs."], True)
+    assert newtext.new_lines("Le message indique ERR_46FC.\nTjark") == (["Le message indique ERR_46FC."], True)

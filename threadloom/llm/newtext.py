@@ -38,14 +38,14 @@ NAME = re.compile(rf"{TITLE}*{NAME_WORD}(?:,? {NAME_WORD}){{0,4}}$")
 WORDS = (
     r"m(?:it|ti) (?:den )?(?:freundlich|best|lieb|herzlich|kolleg|schön|viel|sonnig)\w* Gr(?:u|ü|ue)(?:ß|ss)\w*"
     r"|(?:viele|beste|liebe|schöne|herzliche|freundliche|sonnige|kollegiale|winterliche) Gr(?:ü|ue)(?:ß|ss)e"
-    r"|(?:vielen )?Dank(?:e)?(?: und|,| &)? (?:viele |beste |liebe |schöne )?Gr(?:u|ü|ue)(?:ß|ss)e?|Gr(?:u|ü|ue)(?:ß|ss)e?|MfG|LG|VG|BG|mit Dank"
+    r"|(?:vielen )?Dank(?:e)?(?: und|,| &)? (?:viele |beste |liebe |schöne )?Gr(?:u|ü|ue)(?:ß|ss)e?|Gr(?:u|ü|ue)(?:ß|ss)e?|MfG|LG|VG|BG|\bBR\b|\bThx\b|mit Dank"
     r"|hochachtungsvoll|(?:best|kind|warm|many|kindest|warmest) regards|regards|best wishes|all the best|many thanks and best wishes|best"
     r"|cheers|sincerely(?: yours)?|yours (?:sincerely|faithfully|truly)|thanks and regards|many thanks"
     r"|(?:bien )?cordialement|salutations(?: distinguées)?|bien à (?:vous|toi)|meilleures salutations|sincères salutations"
     r"|(?:un )?(?:cordial )?saludos?(?: cordiales)?|atentamente|un abrazo"
 )
 CLOSING = re.compile(rf"(?:{WORDS})(?:\s+aus\s+(?:dem |der )?[\w.\- ]{{2,30}}?)?\s*(?:[,.!–-]?\s*$|[,.!–-]?\s+(?={TITLE}*{NAME_WORD}(?:,? {NAME_WORD}){{0,4}}$))", re.I)
-INLINE_CLOSING = re.compile(rf"(?<=[\w.!?)\]…\"”“\U0001F300-\U0001FAFF️\U0001F3FB-\U0001F3FF])\s+(?:(?:Danke|Thanks|Merci|Gracias),? )?(?:LG|VG|MfG|BG|Gruß|Grüße|Viele Grüße|Cheers|Regards|Best regards|Best,|Cordialement,?|Saludos,?),? (?-i:{TITLE}*{NAME_WORD}(?: {NAME_WORD}){{0,3}})\s*$", re.I)
+INLINE_CLOSING = re.compile(rf"(?<=[\w.!?)\]…\"”“\U0001F300-\U0001FAFF️\U0001F3FB-\U0001F3FF])\s+(?:(?:Danke|Thanks|Merci|Gracias),? )?(?:LG|VG|MfG|BG|BR|Thx|Gruß|Grüße|Viele Grüße|Cheers|Regards|Best regards|Best,|Cordialement,?|Saludos,?),? (?-i:{TITLE}*{NAME_WORD}(?: {NAME_WORD}){{0,3}})\s*$", re.I)
 DEVICE = re.compile(
     r"(?:gesendet (?:mit|von|über)\b|von (?:meinem|unterwegs)\b.{0,40}(?:gesendet|getippt)|kurz gehalten\b|sent (?:from|with|via|using)\b|typed on\b|envoyé (?:depuis|de mon|avec)\b|enviado (?:desde|con)\b"
     r"|diese (?:nachricht|e-mail) wurde (?:von|mit|unterwegs)\b|get (?:\w+ )for (?:ios|android))",
@@ -61,6 +61,12 @@ LEGAL = re.compile(
 )
 CONTACT = re.compile(r"(?:\d[\d\s()/.\-–+]{4,}\d|@|\(at\)|\[at\]|\bAT\b|www\.|https?://|✉|☎|\b(?:Tel|Fax|Fon|Mobil|Telefon|Phone|Mail|E-Mail|Tél|Direct|Durchwahl)\b|\b(?:GmbH|AG|KG|eG|Ltd|Inc|SE|SA|SARL|OHG)\b|^\| \|$)", re.I)
 SENTENCE = re.compile(r".*[.!?…:;,]$|.{70,}|[-*•]\s|\[?\d|.*[=<>{}\\]|\s*at \w+\.")
+#: Lines of a signature that begin with a number: house number and street, "2nd level".
+NUMBERED = re.compile(r"\d{1,4}(?:\s?(?:bis|ter|[a-z]))?,?\s(?:[^\W\d_][\w.'’-]*,?(?:\s|$)){1,6}(?:\d{4,5}\s[\w. -]+|\d{0,3}[A-Z]?)$|\d(?:st|nd|rd|th)[- ][\w -]+$", re.I)
+#: Lines of a signature that end in an abbreviation of a firm or street.
+ABBREVIATED = re.compile(r"[^.!?]{2,60}(?:\.[^.!?]{1,20}){0,2}(?<=\b)(?:S\.L\.|S\.A\.|izq\.|dcha\.|St\.|Rd\.|Ave\.|Blvd\.|Str\.|Inc\.|Ltd\.|Co\.)$")
+#: How a line ends after which a name may stand without a blank line between.
+ENDED = re.compile(r"[.!?…)\U0001F300-\U0001FAFF\u2600-\u27BF\uFE0F]$")
 ALNUM = re.compile(r"[\W_]+")
 
 OWN, OTHER = True, False
@@ -201,7 +207,7 @@ def _is_name(line: str) -> bool:
 def _tail_follows(rest: list[str]) -> bool:
     """Whether only contact lines, short lines, notices and separators follow."""
     for line in rest:
-        if line and not (CONTACT.search(line) or DEVICE.match(line) or LEGAL.search(line) or SEPARATOR.match(line) or POSTSCRIPT.match(line) or not SENTENCE.match(line)):
+        if line and not (CONTACT.search(line) or DEVICE.match(line) or LEGAL.search(line) or SEPARATOR.match(line) or POSTSCRIPT.match(line) or not SENTENCE.match(line) or NUMBERED.match(line) or ABBREVIATED.match(line)):
             return False
     return True
 
@@ -238,7 +244,7 @@ def _strip_own(block: list[str], first_block: bool, out: list[str], found: int)
             if after and (_is_name(after) or CLOSING.match(after) or DEVICE.match(after) or CONTACT.search(after) and len(after) < 60):
                 signature = True
             continue
-        alone = i == 0 or not block[i - 1]
+        alone = i == 0 or not block[i - 1] or ENDED.search(block[i - 1]) is not None and not any(block[i + 1 :])
         if seen_text and alone and _is_name(line) and _tail_follows(block[i + 1 :]):
             signature = left_out = True
             continue

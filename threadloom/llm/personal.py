@@ -59,7 +59,8 @@ MACHINES = re.compile(r"\s(?:und|and|et|y)\s\S+\s\d+\s(?:stehen|sind|are|sont|es
 _W = r"(?:[^\W\d_a-zß](?:[^\W\d_]|['’](?=[^\W\d_]))*(?:-[^\W\d_a-zß](?:[^\W\d_]|['’](?=[^\W\d_]))+|-(?=[^\W\d_]))*(?:[^\W\d_])*|al-[^\W\d_]+(?:-[^\W\d_]+)*)"
 _PART = r"(?:von der|van der|van den|von|van|vom|zum|zur|zu|de la|de los|del|de|der|den|da|di|la|le|ten|ter|Mac|Mc|O['’])"
 _SUR = rf"(?:{_PART} )*(?![^\W\d_]\. ){_W}"
-NAME = re.compile(rf"(?<![\w@.'’/\\-])(?:[^\W\d_a-z]\.|{_W})(?: [^\W\d_a-z]\.)*(?: {_SUR}){{0,3}}|(?<![\w@.'’/\\-]){_PART} (?![^\W\d_]\. ){_SUR}(?: [^\W\d_a-z]\.)*(?: {_SUR}){{0,2}}")
+_INITIAL = r"[^\W\d_a-z]\.(?= )"
+NAME = re.compile(rf"(?<![\w@.'’/\\-])(?:{_INITIAL}|{_W})(?: (?:{_INITIAL}|{_SUR})){{0,4}}|(?<![\w@.'’/\\-]){_PART} (?!{_INITIAL}){_SUR}(?: (?:{_INITIAL}|{_SUR})){{0,3}}")
 COMMA_NAME = re.compile(rf"(?<![\w@.'’/\\-]){_SUR}, {_W}(?!\w)")
 _ACADEMIC = r"(?:(?:Dr|Prof|Dipl\.-\w+|Mag|Ing|Lic)\.?(?:-Ing\.)? )*"
 TITLE = re.compile(rf"(?:(?<!\w)(?:Herrn?|Frau|Hr\.|Fr\.|Mr\.?|Mrs\.?|Ms\.?|Miss|Mme|Mlle|M\.|Monsieur|Madame|Sr\.|Sra\.|Señora?|Pan|Pani|paní|pan|Dr\.|Prof\.|ppa\.|i\. ?[AV]\.|p\. ?p\.) ){_ACADEMIC}$")
@@ -245,7 +246,7 @@ _SPOKEN = tuple(
     )
 )
 _GREETED = tuple(f"{x} " for x in "Hallo Hi Hello Hey Servus Moin Salut Bonjour Hola Dear Liebe Lieber Liebes Tag Morgen Abend morning day días Cher Chère Estimado Estimada Ahoj Cześć geehrte geehrter geehrtes".split())
-_CLOSED = ("dank", "danke", "mfg", "lg", "vg", "bg", "hochachtungsvoll", "regards", "wishes", "best", "cheers", "sincerely", "yours", "faithfully", "truly", "thanks", "cordialement", "salutations", "distinguées", "vous", "toi", "saludo", "saludos", "cordiales", "atentamente", "abrazo", "thx", "merci", "gracias")
+_CLOSED = ("br", "dank", "danke", "mfg", "lg", "vg", "bg", "hochachtungsvoll", "regards", "wishes", "best", "cheers", "sincerely", "yours", "faithfully", "truly", "thanks", "cordialement", "salutations", "distinguées", "vous", "toi", "saludo", "saludos", "cordiales", "atentamente", "abrazo", "thx", "merci", "gracias")
 _FIRM_LEFT = ("&", "Fa.", "Firma", " und", " and", " y")
 _PLACE_LEFT = ("Rose and", "Rose und", "Drucker", "Server", "Firma", "Fa.", "Standort", "Empfang", "Ort", "aus")
 
