@@ -244,7 +244,7 @@ def _strip_own(block: list[str], first_block: bool, out: list[str], found: int)
             if after and (_is_name(after) or CLOSING.match(after) or DEVICE.match(after) or CONTACT.search(after) and len(after) < 60):
                 signature = True
             continue
-        alone = i == 0 or not block[i - 1] or ENDED.search(block[i - 1]) is not None and not any(block[i + 1 :])
+        alone = i == 0 or not block[i - 1] or line[-1] != "." and ENDED.search(block[i - 1]) is not None and not any(block[i + 1 :])
         if seen_text and alone and _is_name(line) and _tail_follows(block[i + 1 :]):
             signature = left_out = True
             continue
