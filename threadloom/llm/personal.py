@@ -51,6 +51,8 @@ STREET = re.compile(
     rf"|(?<![\w@./:,-])\d{{1,4}}[a-z]?\s(?:{_CAP}\s|St\.\s|[A-Z]\.\s){{1,3}}(?:Street|Road|Lane|Avenue|Ave\.?|Drive|Close|Blvd\.?|Boulevard|Square|St\.|Rd\.|Ln\.|Way|Court|Row|Terrace|Hill|Yard)(?!\w)",
 )
 LOWER_STREET = re.compile(rf"(?<![\w@.-])(?:(?:[^\W\d_][\w.]*-)+|(?:[^\W\d_][\w.]*-)*[^\W\d_]{{3,}})(?:straße|strasse|str\.|allee|chaussee|weg|ring|gasse|platz)\s{_HOUSE}", re.I)
+#: A street in any spelling after words that announce one.
+CUED_STREET = re.compile(rf"(?:(?<=[Ww]ohnhaft )|(?<=[Ww]ohnhaft: )|(?<=wohnt jetzt )|(?<=[Aa]nschrift )|(?<=[Aa]nschrift: )|(?<=[Aa]dresse: )|(?<=Techniker in der ))(?:[^\W\d_][\w.'’-]*\s){{1,5}}{_HOUSE}")
 PLACE_CUE = re.compile(r"(?:wohnhaft:?|anschrift:?|adresse:?|address:?|lives at|wohnt(?: jetzt)?(?: in der| im| am| in)?|nach|sitzt der techniker in der|in der|an|to|au|va a|geliefert|domicilié au|sede:?)\s*$", re.I)
 POSTCODE = re.compile(r"\s*(?:,|in|\(|\n|[-–|])?\s*(?:\d{5}|[A-Z]{1,2}\d)\b")
 NOT_STREET = re.compile(r"^(?:Am|Im|In der|Auf der|An der|Zum|Zur)\s(?:Tor|Raum|Halle|Port|Stock|Terminal|Display|Platz|Gerät|Server|Drucker|Monitor|Schalter|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Mo\w*tag|Dienstag|Mittwoch|Donnerstag|Freitag|Sa\w*tag|Sonntag|Seite|Zeile|Kasse|Waage|Switch|Abschnitt|Ordner|Feld|Ticket|Profil|Build|Version|Anhang|Code|Fehler|Uhr|Jahr|Rack|Slot|Kanal)\b|^(?:Arbeits|Steck|Speicher|Stell)\w*\s\d", re.I)
@@ -352,8 +354,9 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
             out.append(("phone", m.start(), ("+" if grouped else "-") + ("+" if cue else "0") + ("-" if not cue and NOT_VALUE.search(left) else "0") + ("-" if date else "0"), re.sub(r"\d+", "0", m[0])[:12], m.end()))
     ends = digits and _STREET_END.search(lower) is not None
     near = digits and (ends or not _STREET_WORDS.isdisjoint(words)) and _NUMBERED.search(line) is not None
-    for rx in (STREET, LOWER_STREET):
-        if not near or rx is LOWER_STREET and not ends:
+    cued = digits and ("ohnhaft" in line or "wohnt jetzt" in line or "nschrift" in line or "dresse: " in line or "Techniker in der " in line)
+    for rx, asked in ((STREET, near), (LOWER_STREET, near and ends), (CUED_STREET, cued)):
+        if not asked:
             continue
         for m in rx.finditer(seen, a, b):
             if any(x < m.end() and m.start() < y for x, y in taken):
