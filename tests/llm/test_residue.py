@@ -2,7 +2,7 @@ from threadloom.llm import residue
 
 PAGES = [
     "502 Bad Gateway\nedge-3/1.2", "JavaScript ist deaktiviert. Die Anwendung kann ohne Skripte nicht angezeigt werden.", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod",
-    "Dies ist ein Blindtext. Dies ist ein Blindtext.", "<p>Something went wrong!<br>Bitte laden Sie die Seite neu.</p>", "asdf asdf asdf test", "tuwptj flfq öipuqöirl", "TODO: Text\n\nViele Grüße\nJana Stein",
+    "Dies ist ein Blindtext. Dies ist ein Blindtext.", "<p>Something went wrong!<br>Bitte laden Sie die Seite neu.</p>", "asdf asdf asdf test", "tuwptj flfq öipuqöirl", "wpsiujwtj qorzwoö tpatlisfo zdqi akz zirwtute afwreökj", "TODO: Text\n\nViele Grüße\nJana Stein",
 ]
 TEMPLATES = ["Hallo {{first_name}},\n\nIhr Vorgang %s wurde an %s übergeben. Der Import läuft wieder." % (a, b) for a, b in [("{{x_id}}", "[LINK]"), ("%due_date%", "<%= a.b %>"), ("«produkt»", "${c}")]]
 CLEAN = [
@@ -66,7 +66,7 @@ def test_copies_change_nothing(spark):
 
 
 def test_sentences_of_other_languages_are_no_filler(spark):
-    texts = ["Dziękuję bardzo serdecznie wam wszystkim jutro", "Grazie mille ancora molto davvero sempre", "Yardımınız için teşekkür ederim hepinize iyi çalışmalar", "Спасибо большое вам всем всегда", "Hartelijk bedankt voor jullie snelle hulp gisteren", "Kiitos paljon nopeasta avusta kaikille teille"]
+    texts = ["Dziękuję bardzo serdecznie wam wszystkim jutro", "Grazie mille ancora molto davvero sempre", "Yardımınız için teşekkür ederim hepinize iyi çalışmalar", "Спасибо большое вам всем всегда", "Hartelijk bedankt voor jullie snelle hulp gisteren", "Kiitos paljon nopeasta avusta kaikille teille", "proszę sprawdzić skrzynkę pocztową jutro rano"]
     assert found(spark, texts) == set()
 
 

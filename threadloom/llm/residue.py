@@ -98,7 +98,8 @@ def _filler(text: str) -> bool:
         return True
     if len(words) >= 2 and lower[0] == "lorem" and "ipsum" in lower[1:2]:
         return True
-    return len(words) >= 2 and small == len(words) and 2 * sum(bool(CLUMP.search(w)) or not VOWELS.search(w) for w in words) >= len(words)
+    struck = sum(bool(CLUMP.search(w)) or not VOWELS.search(w) for w in words)
+    return len(words) >= 2 and small == len(words) and (3 if len(words) >= 5 else 2) * struck >= len(words)
 
 
 def page_verdict(lines: list[str]) -> str:
