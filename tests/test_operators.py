@@ -251,3 +251,11 @@ def test_clashing_names(spark, desk):
     tickets = tickets.withColumn("ticket_id", F.lit(0)).withColumn("body", F.lit("x"))
     assert records.with_articles(tickets, articles).count() == 5
     assert records.ticket_content(tickets.drop("ticket_id"), articles).where("id = 1").first()["content"] == "Titel: Drucker defekt\n\n---\n<p>Der Drucker druckt nicht</p>\n---\nBitte neu starten"
+
+
+def test_stored_rows_are_read_again(spark):
+    from threadloom.session import cut, shared_folder, stored
+
+    rows = spark.createDataFrame([(1, [1.0], None), (2, None, "ä")], "a long, b array<double>, c string")
+    assert sorted(map(str, stored(rows).collect())) == sorted(map(str, cut(rows).collect())) == sorted(map(str, rows.collect()))
+    assert shared_folder(spark)

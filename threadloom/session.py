@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder if someone has set it."""
+    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder if someone has set it.
+
+    Where neither is set, a local master gets a folder of its own; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_by_hand.isDefined():
-        return set_by_hand.get()
-    raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,8 +57,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
+    folder = shared_folder(spark)
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(spark))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
