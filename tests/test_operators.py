@@ -93,6 +93,32 @@ def test_sparse_search(spark):
     assert found == pytest.approx(brute_bm25(texts, "vpn kabel kabel fehlt"), abs=1e-6)
 
 
+def test_sparse_search_in_blocks_of_queries(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(40)] + ["oft"] * 20
+    texts = {f"p{i:03}": " ".join(rng.choice(words, 12)) for i in range(120)} | {"empty": "", "copy": "oft w1", "twin": "oft w1"}
+    points = spark.createDataFrame(list(texts.items()), "point_id string, text string").repartition(5)
+    asked_for = {i: "oft " + " ".join(rng.choice(words, 3)) for i in range(30)}
+    tokens = bm25.tokenized(points, "point_id", "text")
+    terms, stats = bm25.document_frequencies(tokens), bm25.corpus_stats(tokens)
+    asked = search.query_weights(spark.createDataFrame(list(asked_for.items()), "query_id long, query string"), "query", terms, stats)
+    one, many = (sorted(map(tuple, search.sparse_topk(tokens, asked, terms, stats, 7, block=b).collect())) for b in (1000, 6))
+    assert one == many and len(one) == 210
+    for query in (0, 17):
+        scores = brute_bm25(texts, asked_for[query])
+        best = sorted(scores, key=lambda i: (-round(scores[i], 6), i))[:7]
+        assert [r[1] for r in sorted((r for r in one if r[0] == query), key=lambda r: r[3])] == best
+
+
+def test_beginnings_of_joined_texts(spark):
+    rows = [("g", i, "x" * (i % 5) + "\n") for i in range(40)] + [("blank", i, " ") for i in range(3)] + [("late", 0, " " * 30), ("late", 1, "text")]
+    df = spark.createDataFrame(rows, "g string, a int, t string")
+    whole = {r["g"]: r["text"] for r in records.ordered_concat(df, ["g"], ["a"], "t", block=7).collect()}
+    for length in (1, 9, 20, 500):
+        found = {r["g"]: r["text"] for r in records.ordered_concat(df, ["g"], ["a"], "t", block=7, length=length, blank=False).collect()}
+        assert found == {g: t[:length] for g, t in whole.items() if g != "blank"}
+
+
 def test_dense_search_in_blocks(spark):
     rng = np.random.default_rng(1)
     vectors = [(f"p{i:03}", rng.normal(size=8).tolist()) for i in range(300)]
@@ -240,6 +266,28 @@ def test_answer_loop_writes_each_note_once(spark, desk, tmp_path):
     assert answers.status(None, spark.read.parquet(store.path("processed"))) == {"running": False, "progress": None, "processed": 3}
 
 
+def test_equal_phrases_are_searched_for_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def counting():
+        def embed(texts):
+            for text in texts:
+                with open(f"{folder}/asked", "a") as file:
+                    file.write(text + "\n")
+            return np.ones((len(texts), 4))
+
+        return embed
+
+    chunks = [(f"p{i}", 1 + i % 4, i % 4, i, ["Drucker defekt", "Netz fehlt", " "][i % 3], [1.0, 0.0, 0.0, 1.0]) for i in range(24)]
+    points = spark.createDataFrame(chunks, "point_id string, ticket_id long, article_position int, chunk_index int, text string, dense array<float>")
+    contents = spark.createDataFrame([(i, f"Drucker {i % 3} defekt\nMehr {i}") for i in range(30)] + [(99, " "), (None, "Drucker 0 defekt\n")], "id long, content string")
+    rows = {r["ticket_id"]: r for r in answers.answered(contents, points, embedder=counting).collect()}
+    assert len(rows) == 32 and all(rows[i]["outcome"] == "ok" for i in range(30))
+    assert (rows[99]["outcome"], rows[None]["outcome"]) == ("no_content", "no_results")
+    asked = open(f"{folder}/asked").read().splitlines()
+    assert sorted(asked) == [f"Search phrase for this ticket: Drucker {i} defekt" for i in range(3)]
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"term_df": {"a": 2}, "avgdl": 1.5, "vocab": {"a": 0}, "N_docs": 2, "last_rebuild": "x"}')
     assert read_stats_json(spark, str(tmp_path / "s.json")).first()["n_docs"] == 2

@@ -116,20 +116,24 @@ def without(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return new.join(known.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def ordered_concat(rows: DataFrame, group: list[str], order: list[str], text: str, out: str = "text", separator: str = "\n", block: int = 512) -> DataFrame:
+def ordered_concat(rows: DataFrame, group: list[str], order: list[str], text: str, out: str = "text", separator: str = "\n", block: int = 512, length: int | None = None, blank: bool = True) -> DataFrame:
     """The non-empty texts of each group in order (nulls last), joined: (group, out).
 
     A group is joined in blocks by its first order column, and the blocks then by group, so no task holds a group's rows;
-    the result is one value, which can't exceed what a string can hold (2 GB).
+    the result is one value, which can't exceed what a string can hold (2 GB). With a ``length`` it is the first characters
+    of that value; texts and blocks are cut as well, as none gives more. ``blank=False`` leaves out groups of blank texts.
     """
     first = F.col(order[0])
     slot = F.when(first.isNull(), F.lit(None)).otherwise(F.floor(first / block)).cast("long")
     keys = [F.col(o) for o in order]
-    sortable = F.struct(*[x for i, k in enumerate(keys) for x in (k.isNull().alias(f"n{i}"), k.alias(f"k{i}"))], F.col(text).alias("t"))
+    head = (lambda c: c) if length is None else (lambda c: F.substring(c, 1, length))
+    sortable = F.struct(*[x for i, k in enumerate(keys) for x in (k.isNull().alias(f"n{i}"), k.alias(f"k{i}"))], head(F.col(text)).alias("t"))
+    seen = F.lit(True) if blank else ~is_blank(F.col(text))
     kept = rows.where(F.col(text).isNotNull() & (F.col(text) != ""))
-    parts = kept.groupBy(*group, slot.alias("__slot")).agg(_joined(sortable, separator).alias("__part"))
+    parts = kept.groupBy(*group, slot.alias("__slot")).agg(head(_joined(sortable, separator)).alias("__part"), F.max(seen).alias("__seen"))
     whole = F.struct(F.col("__slot").isNull().alias("n"), F.col("__slot").alias("k"), F.col("__part").alias("t"))
-    return parts.groupBy(*group).agg(_joined(whole, separator).alias(out))
+    joined = parts.groupBy(*group).agg(head(_joined(whole, separator)).alias(out), F.max("__seen").alias("__seen"))
+    return joined.where("__seen").select(*group, out)
 
 
 def _joined(sortable: Column, separator: str) -> Column:

@@ -15,7 +15,7 @@ from threadloom.operators import ingest as ing
 from threadloom.operators import records as rec
 from threadloom.plans import sql
 from threadloom.plans.retrieval import points
-from threadloom.session import shared_folder, table
+from threadloom.session import shared_folder, stored, table
 from threadloom.streaming import answers
 
 AS_OF = "2024-07-01T00:00:00Z"
@@ -187,7 +187,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the answer loop makes of all stored ticket contents, with the default models."""
     contents = table(spark, sf_dir, "ticket_data").select("id", "content").dropDuplicates(["id"])
-    return answers.answered(contents, points(spark, sf_dir), SETTINGS)
+    return answers.answered(contents, stored(points(spark, sf_dir)), SETTINGS)
 
 
 QUERIES = {

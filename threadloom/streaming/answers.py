@@ -13,7 +13,10 @@ from threadloom.functions.models import embed, generate, hashing_embedder, overl
 from threadloom.functions.text import fill, is_blank, without_thinking
 from threadloom.operators.records import is_open, snippets, with_single_article, without, young
 from threadloom.operators.search import search
-from threadloom.session import cut
+from threadloom.session import cut, stored
+
+#: How much of each result stands in a prompt.
+SNIPPET = 200
 
 
 def waiting(tickets: DataFrame, articles: DataFrame, as_of: Column, settings: Settings = Settings()) -> DataFrame:
@@ -33,15 +36,17 @@ def answered(contents: DataFrame, points: DataFrame, settings: Settings = Settin
     """(ticket_id, outcome, answer) for records (id, content): a search phrase, a search with it, an answer from what was found.
 
     outcome is ok, no_content, no_query, no_results or no_answer; only ok has an answer. Every record comes out, so that it
-    can be marked as processed whatever became of it.
+    can be marked as processed whatever became of it. Each distinct phrase is searched for once.
     """
     asked = contents.select(F.col("id").alias("query_id"), F.coalesce("content", F.lit("")).alias("content"))
     phrase = without_thinking(generate(fill(settings.search_prompt, ticket_content=F.col("content")), generator))
-    asked = cut(asked.withColumn("query", F.when(is_blank(F.col("content")), F.lit("")).otherwise(phrase)))
-    queries = asked.where("query <> ''").select("query_id", "query", embed(F.col("query"), embedder).alias("dense"))
-    found = search(points, queries, settings.answer_top_k, settings.answer_top_tickets, settings.fusion_k, score, settings.k1, settings.b)
-    listed = snippets(found, ["query_id"], "ticket_rank", "text")
-    joined = asked.join(listed, "query_id", "left")
+    asked = stored(asked.withColumn("query", F.when(is_blank(F.col("content")), F.lit("")).otherwise(phrase)))
+    phrases = asked.where("query <> '' AND query_id IS NOT NULL").groupBy("query").agg(F.min("query_id").alias("query_id"))
+    queries = stored(phrases.select("query_id", "query", embed(F.col("query"), embedder).alias("dense")))
+    found = search(points, queries, settings.answer_top_k, settings.answer_top_tickets, settings.fusion_k, score, settings.k1, settings.b, SNIPPET)
+    listed = snippets(found, ["query_id"], "ticket_rank", "text", length=SNIPPET)
+    listed = queries.select("query_id", "query").join(listed, "query_id").select("query", "snippets")
+    joined = asked.join(listed, "query", "left").withColumn("snippets", F.when(F.col("query_id").isNotNull(), F.col("snippets")))
     prompt = fill(settings.answer_prompt, ticket_content=F.col("content"), search_results=F.col("snippets"))
     answer = without_thinking(generate(F.when(F.col("snippets").isNotNull(), prompt), generator))
     outcome = F.when(is_blank(F.col("content")), "no_content").when(F.col("query") == "", "no_query").when(F.col("snippets").isNull(), "no_results").when(F.col("answer") == "", "no_answer").otherwise("ok")
