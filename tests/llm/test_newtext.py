@@ -118,3 +118,16 @@ def test_signatures_without_closing_words():
         assert newtext.new_lines("\n".join(["Die Waage hängt.", "", *tail])) == (["Die Waage hängt."], True)
     assert newtext.new_lines("The scale hangs. BR Łucja") == (["The scale hangs."], True)
     assert newtext.new_lines("Le message indique ERR_46FC.\nTjark") == (["Le message indique ERR_46FC."], True)
+
+
+def test_articles_of_a_ticket_content_are_compared(spark):
+    old = ["Der nächtliche Lauf meldet seit Dienstag einen Zeitablauf, sobald das Netz kurz ausfällt, und danach fehlen Daten.", "Die Tabelle mit den Messwerten endet mit Code 581, obwohl seit der Umstellung gar nichts mehr geändert wurde.", "Wir haben das Gerät zweimal neu gestartet."]
+    parts = ["Titel: Lauf", "\n".join(["Guten Tag,", *old]), "\n".join(["Bitte einmal abmelden.", *old]), f"Danke.\n{old[0]}\n{old[2]}"]
+    rows = [(1, "\n---\n".join(parts)), (2, "\n---\n".join(parts[:2])), (3, "\n---\n".join([*parts[:2], parts[3]]))]
+    df = spark.createDataFrame(rows, "id long, content string")
+    new = {r["id"]: r["new"] for r in newtext.newly_written(df, "content", assembled=True).collect()}
+    whole = ["Titel: Lauf", "Guten Tag,", *old]
+    assert new[1]["text"].split("\n") == [*whole, "Bitte einmal abmelden.", "Danke.", old[0], old[2]] and new[1]["other"]
+    assert new[1]["md5"] == letters_md5([*whole, "Bitte einmal abmelden.", "Danke.", old[0], old[2]])
+    assert new[2]["text"].split("\n") == whole and not new[2]["other"]
+    assert new[3]["text"].split("\n") == [*whole, "Danke.", old[0], old[2]] and not new[3]["other"]  # lines that don't run along

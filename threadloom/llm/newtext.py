@@ -300,13 +300,18 @@ BODY_BREAK = re.compile(r"(?:\r\n|\n)---(?:\r\n|\n)")
 
 
 def new_lines_of_ticket(content: str) -> tuple[list[str], bool]:
-    """The same for the content of a ticket: its title line and its articles, set apart by lines of three dashes."""
+    """The same for the content of a ticket: its title line and its articles, set apart by lines of three dashes.
+
+    The articles are a thread of their own: each is compared with those before it as stored articles are.
+    """
     title, *bodies = BODY_BREAK.split(content)
+    found = [new_lines(body) for body in bodies]
+    gone = inherited_within([lines for lines, _ in found]) if len(found) > 1 else [[] for _ in found]
     out, other = [title.strip()], False
-    for body in bodies:
-        lines, more = new_lines(body)
-        out += lines
-        other |= more
+    for (lines, more), numbers in zip(found, gone):
+        dropped = set(numbers)
+        out += [line for n, line in enumerate(lines) if n not in dropped] if dropped else lines
+        other |= more or bool(dropped)
     return out, other
 
 
@@ -352,6 +357,21 @@ def inherited(matches: list[dict], least: int = INHERITED_LETTERS) -> list[int]:
     return sorted(set(out))
 
 
+def inherited_within(messages: list[list[str]]) -> list[list[int]]:
+    """For each message of a thread, in order, the indexes of its lines that run along an earlier one.
+
+    As in ``without_inherited``, a shingle stands for its first place in the thread.
+    """
+    first: dict[int, dict] = {}
+    out: list[list[int]] = []
+    for place, lines in enumerate(messages):
+        own = shingles(lines)
+        out.append(inherited([s | first[s["h"]] for s in own if s["h"] in first]))
+        for s in own:
+            first.setdefault(s["h"], {"ancestor": place, "at": s["n"], "at_next": s["next"]})
+    return out
+
+
 _SHINGLE = pa.struct([("n", pa.int32()), ("next", pa.int32()), ("h", pa.int64()), ("letters", pa.int32()), ("last", pa.int32())])
 RESULT = pa.struct([("text", pa.string()), ("md5", pa.string()), ("other", pa.bool_()), ("shingles", pa.list_(_SHINGLE))])
 RESULT_DDL = "struct<text: string, md5: string, other: boolean, shingles: array<struct<n: int, next: int, h: long, letters: int, last: int>>>"
