@@ -1,3 +1,4 @@
+from threadloom.llm import personal
 from threadloom.llm.personal import candidates, estimate, personal_data, redacted, redacted_text, visible
 
 MAIL = """Hallo Frau Kolkmeyr,
@@ -54,3 +55,23 @@ Viele Grüße
 def test_redaction_in_markup():
     text = '<p>K&ouml;nnen Sie <a href="mailto:a.b@x.example">a.b&#64;x.example</a>&nbsp;<b>+49 30 555 0123</b> antworten?</p>'
     assert redacted_text(text, candidates(text, frozenset(), frozenset())) == '<p>K&ouml;nnen Sie <a href="mailto:[EMAIL]">[EMAIL]</a>&nbsp;<b>[PHONE]</b> antworten?</p>'
+
+
+def test_lines_seen_before_give_the_same(monkeypatch):
+    given, family = frozenset({"Jana", "Ole"}), frozenset({"Stein", "Brask"})
+    lines = ["Jana Stein", "Viele Grüße", "Tel. 030-5551234", "Hallo Jana,", "i.", "V. Stein", "Der Ausweis 123456789", " fehlt", "Nordweg, 7", " und Brandweg 9 stehen", "Herr Brask ruft an: a.b@post.example", "wohnhaft Im Hof 3 b"]
+    looked = []
+    whole = personal._line_candidates
+    monkeypatch.setattr(personal, "_line_candidates", lambda *a: looked.append(a[3]) or whole(*a))
+    for text in ["\n".join(lines), "\n".join(reversed(lines)), "\n\n".join(lines[::2] + lines[1::2])]:
+        personal._known_lines.cache_clear()
+        alone = personal.candidates(text, given, family)
+        again = personal.candidates(text + "\n" + text, given, family)
+        n = len(text) + 1
+        assert alone == again[: len(alone)] and [(k, p + n, v, s, e + n) for k, p, v, s, e in alone][2:] == again[len(alone) :][2:]
+    assert looked.count("Tel. 030-5551234") == looked.count("Herr Brask ruft an: a.b@post.example") == 3
+
+
+def test_tests_before_street_patterns_rule_out_no_street():
+    for street in ["Nordweg 7", "Nordweg, 7", "NORDSTR. 7", "Nord Straße 7 a", "Am Alten Tor 3", "Hinterm Berg, 4", "12 bis, rue de la Paix", "7 N. Quarry St.", "C/ Herrería 25", "ul. Nowa 5", "wohnhaft Tief 8"]:
+        assert [c[0] for c in personal.candidates(f"Wir, {street}", frozenset(), frozenset())] == ["street_address"], street

@@ -43,9 +43,10 @@ PHONE_CUE = re.compile(r"(?:tel|telefon|fon|fax|mobil|handy\w*|phone|ph|cell|mob
 
 _STREET = r"(?:straße|strasse|str\.|weg|ring|platz|gasse|allee|wall|chaussee|hof|damm|ufer|stieg|steig|pfad|markt|graben|zeile|winkel|promenade)"
 _HOUSE = r"\d{1,4}(?:[a-zA-Z](?!\w|\.\w)|\s[a-zA-Z](?![\w.]))?(?:\s?[-–/]\s?\d{1,4}(?:\s?[a-z](?!\w))?)?(?![\w:%]|[.,]\d|\s?(?:Uhr|Minuten|GB|Zeilen))"
+_PLACES = "An der|An den|Auf der|Auf dem|Unter den|In der|In den|Am|Im|Zum|Zur|Hinter der|Vor dem|Hinterm"
 _CAP = r"[^\W\d_a-zß][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 STREET = re.compile(
-    rf"(?<![\w@.-])(?:(?:[^\W\d_][\w.]*-)*[^\W\d_]+{_STREET}|(?:[^\W\d_][\w.]*-)*{_CAP}[ -](?:Straße|Strasse|Str\.|Weg|Ring|Platz|Gasse|Allee|Pfad|Markt|Chaussee|Damm|Ufer|Wall|Graben|Stieg|Steig|Promenade|Zeile|Winkel)|(?:An der|An den|Auf der|Auf dem|Unter den|In der|In den|Am|Im|Zum|Zur|Hinter der|Vor dem|Hinterm)(?: {_CAP}){{1,2}}),?\s{_HOUSE}"
+    rf"(?<![\w@.-])(?:(?:[^\W\d_][\w.]*-)*[^\W\d_]+{_STREET}|(?:[^\W\d_][\w.]*-)*{_CAP}[ -](?:Straße|Strasse|Str\.|Weg|Ring|Platz|Gasse|Allee|Pfad|Markt|Chaussee|Damm|Ufer|Wall|Graben|Stieg|Steig|Promenade|Zeile|Winkel)|(?:{_PLACES})(?: {_CAP}){{1,2}}),?\s{_HOUSE}"
     rf"|(?<![\w@.-])(?:C/|Calle|Plaza|Avenida|Avda\.|Paseo|ul\.|ulica|al\.|Camino)\s?(?:(?:del?|la|los|las|el)\s)*{_CAP}(?:\s(?:del?|la|los|las|el|{_CAP}))*,?\s{_HOUSE}"
     rf"|(?<![\w@./:,-])\d{{1,4}}(?:\s?(?:bis|ter|[a-z]))?,?\s(?:rue|avenue|place|boulevard|bd|allée|chemin|impasse|quai|route)\s(?:(?:d[eu]s?|la|l')\s?)*{_CAP}(?:-{_CAP})*"
     rf"|(?<![\w@./:,-])\d{{1,4}}[a-z]?\s(?:{_CAP}\s|St\.\s|[A-Z]\.\s){{1,3}}(?:Street|Road|Lane|Avenue|Ave\.?|Drive|Close|Blvd\.?|Boulevard|Square|St\.|Rd\.|Ln\.|Way|Court|Row|Terrace|Hill|Yard)(?!\w)",
@@ -78,6 +79,26 @@ TALK = re.compile(r"^ (?:and|und|et|y) [^\W\d_]+ (?:are the names|sind (?:die )?
 CHANGEABLE = re.compile(r"(?:im|Im|am|Am|der|Der|die|Die|das|Das|den|dem|ein|eine|the|The|le|la|el|Drucker|Server|Raum|Halle|printer|und im|in|In|each|this|next) $")
 
 
+@lru_cache(maxsize=4096)
+def _character(entity: str) -> str:
+    return unescape(entity)
+
+
+def _shown(m: re.Match) -> str:
+    """What an entity or piece of markup shows as."""
+    found = m[0]
+    if found[0] == "&":
+        return _character(found)
+    return "\n" if m[3] and m[3].lower() in BREAKS else ""
+
+
+def visible_text(text: str) -> str:
+    """The visible text alone."""
+    if "<" not in text and "&" not in text:
+        return text
+    return (_MARKUP if LOOKS_HTML.search(text) is not None else _ENTITY).sub(_shown, text)
+
+
 def visible(text: str) -> tuple[str, list[int], list[int]]:
     """The visible text, and where runs of it begin: (text, positions in it, positions in the raw text)."""
     if "<" not in text and "&" not in text:
@@ -92,8 +113,7 @@ def visible(text: str) -> tuple[str, list[int], list[int]]:
             ours.append(size)
             raws.append(at)
             size += m.start() - at
-        entity = m["entity"] if html else m[0]
-        new = unescape(entity) if entity else "\n" if m[3] and m[3].lower() in BREAKS else ""
+        new = _shown(m)
         parts.append(new)
         ours.append(size)
         raws.append(m.start())
@@ -135,9 +155,11 @@ def name_words(counts: dict[tuple[str, str], int], least: int) -> dict[str, froz
 def _anchored(text: str) -> set[tuple[str, str]]:
     """(word, 'g' or 's') of the names that stand where only a person's name does."""
     found: set[tuple[str, str]] = set()
-    named = (m for a in ADDRESSED.finditer(text) if (m := BEFORE_ADDRESS.search(text, max(0, a.start() - 60), a.start())))
+    addressed = ADDRESSED.finditer(text) if "@" in text or "＠" in text else ()
+    named = (m for a in addressed if (m := BEFORE_ADDRESS.search(text, max(0, a.start() - 60), a.start())))
     titled = LEARN_TITLE.finditer(text) if any(x in text for x in _LEARNED) else ()
-    for rx, matches in ((ADDRESSED, named), (LEARN_TITLE, titled), (LEARN_HELLO, LEARN_HELLO.finditer(text))):
+    greeted = LEARN_HELLO.finditer(text) if any(x in text for x in _HELLOS) else ()
+    for rx, matches in ((ADDRESSED, named), (LEARN_TITLE, titled), (LEARN_HELLO, greeted)):
         for m in matches:
             name = m["name"]
             given, family = _given_and_family(name)
@@ -151,6 +173,7 @@ def _anchored(text: str) -> set[tuple[str, str]]:
 
 
 _LEARNED = ("Herr", "Frau", "Hr.", "Fr.", "Mr", "Ms", "Mme", "M.", "Sr", "Dr.")
+_HELLOS = ("Hallo ", "Hi ", "Hello ", "Hey ", "Servus ", "Salut ", "Hola ", "Dear ")
 _FULL = rf"(?:{_SUR}, {_W}|{_W}(?: [^\W\d_a-z]\.)?(?: {_SUR}){{1,2}})"
 ADDRESSED = re.compile(r" <[^\s<>]+[@＠]")
 BEFORE_ADDRESS = re.compile(rf"(?<![\w'’-])(?P<name>{_FULL})$")
@@ -176,7 +199,7 @@ def _name_candidates(text: str, given: frozenset, family: frozenset, taken: list
             if end <= done:
                 continue
             start = done + 1
-        tokens = [(m.start() + start, m[0]) for m in re.finditer(r"\S+", text[start:end])]
+        tokens = [(m.start() + start, m[0]) for m in _TOKEN.finditer(text[start:end])]
         if start in commas:
             group = [tokens]
         else:  # the known words, with the particles and initials among them
@@ -229,7 +252,7 @@ def _titled(text: str, a: int, at: int) -> bool:
     """Whether what stands before ``at`` in its line may be a form of address; only rules out."""
     if at <= a or text[at - 1] != " ":
         return False
-    word = text[text.rfind(" ", a, at - 1) + 1 : at - 1]
+    word = text[max(a, text.rfind(" ", a, at - 1) + 1) : at - 1]
     return word[-1:] == "." or word.lstrip("<>(\"'|*-:;,/") in _TITLE_WORDS or word[-1:].isalpha() and _LETTERS.findall(word)[-1] in _TITLE_WORDS
 
 
@@ -295,11 +318,18 @@ SIGNS = re.compile(r"(?:[-–—_*=~#]{2,}|—|–)\s*$")
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"\S+")
+#: What an identity number of fewer than seven digits begins with.
+_LETTERED = re.compile(r"[A-Z]\d[A-Z0-9]{6}")
 _DIGITS = re.compile(r"\d[\d \xa0()/.–+-]{4}|\d[A-Z]\d|[A-Z]\d")
-#: Words of which a line with a street that doesn't end in one has at least one.
-_STREET_WORDS = frozenset("Chaussee Damm Ufer Wall Graben Stieg Steig Promenade Zeile Winkel An Auf Unter In Am Im Zum Zur Hinter Vor Hinterm Straße Strasse Str Weg Ring Platz Gasse Allee Pfad Markt C Calle Plaza Avenida Avda Paseo ul ulica al Camino rue avenue place boulevard bd allée chemin impasse quai route Street Road Lane Avenue Ave Drive Close Blvd Boulevard Square St Rd Ln Way Court Row Terrace Hill Yard".split())
-#: A word that ends like a street.
-_STREET_END = re.compile(_STREET.replace("\\.", "") + r"(?![^\W\d_])")
+#: Words of which a line with a street in other languages than German has at least one.
+_STREET_WORDS = frozenset("C Calle Plaza Avenida Avda Paseo ul ulica al Camino rue avenue place boulevard bd allée chemin impasse quai route Street Road Lane Avenue Ave Drive Close Blvd Boulevard Square St Rd Ln Way Court Row Terrace Hill Yard".split())
+#: What a street with a house number behind it has before and at that number, in lower case.
+_STREET_ENDS = tuple(_STREET[3:-1].replace("\\.", ".").split("|"))
+_HOUSE_FOLLOWS = re.compile(r"\s\d")
+#: The first words of streets that begin with a preposition, and how such a street goes on.
+_STREET_PLACES = frozenset("An Auf Unter In Am Im Zum Zur Hinter Vor Hinterm".split())
+_PLACE_STREET = re.compile(rf"(?:{_PLACES})(?: {_CAP}){{1,2}},?\s\d")
 #: A number after or before a word, as house numbers stand.
 _NUMBERED = re.compile(r"[^\W\d_]\.?,?\s\d|\d(?:\s?(?:bis|ter|[a-z]))?,?\s[^\W\d_]")
 _DIGIT = re.compile(r"\d")
@@ -318,8 +348,12 @@ def _pieces(given: frozenset, family: frozenset) -> frozenset:
     return frozenset(x for w in (*given, *family) for x in _LETTERS.findall(w)) | _TITLE_WORDS
 
 
-def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, family: frozenset, pieces: frozenset, out: list) -> None:
-    """Adds the candidates of one line; no value runs over its end. What is asked first only rules out lines without any."""
+def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, family: frozenset, pieces: frozenset, out: list) -> bool:
+    """Adds the candidates of one line; no value runs over its end. What is asked first only rules out lines without any.
+
+    Tells whether nothing was asked of other lines, so that the same line gives the same elsewhere.
+    """
+    apart = not ("A." in line[:5] or "V." in line[:5])  # "i. V." may be wrapped
     taken: list[tuple[int, int]] = []
     lower = line.lower()
     if "@" in line or "＠" in line or "AT" in line and _SPELLED.search(line) or "(at)" in lower or "[at]" in lower or "{at}" in lower:
@@ -331,19 +365,21 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
             taken.append(m.span())
             out.append(("email", m.start(), "+" + ("+" if plain else "0") + ("-" if seen[max(0, m.start() - 3) : m.start()] == "://" else "0"), "plain" if plain else "spelled", m.end()))
     words = _LETTERS.findall(line)
-    digits = _DIGIT.search(line) is not None
-    if digits and _DIGITS.search(line):
+    digits = len(_DIGIT.findall(line))
+    lettered = 0 < digits < 7 and _LETTERED.search(line) is not None
+    if lettered or digits >= 6 and _DIGITS.search(line):
         values = []
-        for m in ID.finditer(seen, a, b) if next(_ID_SIGNS.iter(lower), None) else ():
+        for m in ID.finditer(seen, a, b) if (lettered or digits >= 7) and next(_ID_SIGNS.iter(lower), None) else ():
             if any(x < m.end() and m.start() < y for x, y in taken):
                 continue
             left, right = _line_before(seen, m.start()), seen[m.end() : m.end() + 30]
+            apart = apart and m.end() + 30 <= b
             cue, profile, wrong = ID_CUE.search(left), ID_PROFILE.search(left) and ID_AFTER.match(right), NOT_VALUE.search(left)
             if cue or profile:
                 values.append(m.span())
                 out.append(("id_number", m.start(), ("+" if cue else "0") + ("+" if profile else "0") + ("-" if wrong and not cue else "0"), re.sub(r"[A-Za-z]", "A", re.sub(r"\d+", "0", m[0])), m.end()))
         taken += values
-        for m in PHONE.finditer(seen, a, b):
+        for m in PHONE.finditer(seen, a, b) if digits >= 6 else ():
             if not 6 <= sum(c.isdigit() for c in m[0]) <= 16 or any(x < m.end() and m.start() < y for x, y in taken):
                 continue
             left = _line_before(seen, m.start())
@@ -352,33 +388,60 @@ def _line_candidates(seen: str, a: int, b: int, line: str, given: frozenset, fam
             taken.append(m.span())
             cue = PHONE_CUE.search(left)
             out.append(("phone", m.start(), ("+" if grouped else "-") + ("+" if cue else "0") + ("-" if not cue and NOT_VALUE.search(left) else "0") + ("-" if date else "0"), re.sub(r"\d+", "0", m[0])[:12], m.end()))
-    ends = digits and _STREET_END.search(lower) is not None
-    near = digits and (ends or not _STREET_WORDS.isdisjoint(words)) and _NUMBERED.search(line) is not None
+    ends = digits > 0 and any(lower.endswith(_STREET_ENDS, 0, m.start() - (lower[m.start() - 1 : m.start()] == ",")) for m in _HOUSE_FOLLOWS.finditer(lower))
+    near = ends or digits > 0 and (not _STREET_PLACES.isdisjoint(words) and _PLACE_STREET.search(line) is not None or not _STREET_WORDS.isdisjoint(words) and _NUMBERED.search(line) is not None)
     cued = digits and ("ohnhaft" in line or "wohnt jetzt" in line or "nschrift" in line or "dresse: " in line or "Techniker in der " in line)
-    for rx, asked in ((STREET, near), (LOWER_STREET, near and ends), (CUED_STREET, cued)):
+    for rx, asked in ((STREET, near), (LOWER_STREET, ends), (CUED_STREET, cued)):
         if not asked:
             continue
         for m in rx.finditer(seen, a, b):
             if any(x < m.end() and m.start() < y for x, y in taken):
                 continue
             left, right = _line_before(seen, m.start()), seen[m.end() : m.end() + 20]
+            apart = False
             cue = PLACE_CUE.search(left) is not None or left.strip(" >|*") == ""
             wrong = NOT_STREET.search(m[0]) is not None or MACHINES.match(seen, m.end()) is not None
             taken.append(m.span())
             out.append(("street_address", m.start(), "+" + ("+" if cue else "0") + ("+" if POSTCODE.match(right) else "0") + ("-" if wrong else "0"), re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", m[0]))[:12], _address_end(seen, m.end(), b)))
     if (given or family) and not pieces.isdisjoint(words):
-        out += _name_candidates(seen, given, family, taken, a, b)
+        found = _name_candidates(seen, given, family, taken, a, b)
+        out += found
+        apart = apart and not any(_alone(line, c[1] - a, c[4] - a) for c in found)
+    return apart
+
+
+def _alone(line: str, s: int, e: int) -> bool:
+    """Whether a name may be all of its line, so that the line above counts; may say so too often."""
+    return not line[e : e + 60].strip(" ,!-–.:")
+
+
+#: How many different lines a worker keeps with what they gave.
+_KEPT_LINES = 100_000
+
+
+@lru_cache(maxsize=1)
+def _known_lines(given: frozenset, family: frozenset) -> dict[str, tuple]:
+    """What lines gave that were seen before with these names, with positions from the line's begin."""
+    return {}
 
 
 def candidates(text: str, given: frozenset, family: frozenset) -> list[tuple[str, int, str, str, int]]:
     """(type, position in the raw text, votes, shape, end) of everything in a text that looks like a value."""
     seen, ours, raws = visible(text)
     out: list[tuple[str, int, str, str, int]] = []
-    pieces = _pieces(given, family)
+    pieces, known = _pieces(given, family), _known_lines(given, family)
     start = 0
     for line in seen.split("\n"):
         if line:
-            _line_candidates(seen, start, start + len(line), line, given, family, pieces, out)
+            before = known.get(line)
+            if before is not None:
+                out += [(t, p + start, v, k, e + start) for t, p, v, k, e in before]
+            else:
+                n = len(out)
+                if _line_candidates(seen, start, start + len(line), line, given, family, pieces, out):
+                    if len(known) >= _KEPT_LINES:
+                        known.clear()
+                    known[line] = tuple((t, p - start, v, k, e - start) for t, p, v, k, e in out[n:])
         start += len(line) + 1
     if len(ours) > 1:
         ours.append(len(seen) + 1)
@@ -474,7 +537,7 @@ def _names(df: DataFrame, text: str, least: int):
 
     @F.arrow_udf("array<struct<word: string, role: string>>")
     def learn(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"word": w, "role": r} for w, r in _anchored(visible(t)[0])] if t else [] for t in texts.to_pylist()], type=pa.list_(pa.struct([("word", pa.string()), ("role", pa.string())])))
+        return pa.array([[{"word": w, "role": r} for w, r in _anchored(visible_text(t))] if t else [] for t in texts.to_pylist()], type=pa.list_(pa.struct([("word", pa.string()), ("role", pa.string())])))
 
     seen = df.select(F.explode(learn(df[text])).alias("w")).groupBy("w.word", "w.role").count().where(F.col("count") >= least).collect()
     return df.sparkSession.sparkContext.broadcast(name_words({(r["word"], r["role"]): r["count"] for r in seen}, least))
@@ -487,7 +550,7 @@ def _fitted(df: DataFrame, keys: list[str], text: str, least: int):
     @F.arrow_udf("array<struct<pii_type: string, start_pos: int, votes: string, shape: string>>")
     def look(texts: pa.Array) -> pa.Array:
         names = shared.value
-        return pa.array([[dict(zip(("pii_type", "start_pos", "votes", "shape"), c)) for c in candidates(t, names["g"], names["s"])] if t else [] for t in texts.to_pylist()], type=_ARROW)
+        return pa.array([[c[:4] for c in candidates(t, names["g"], names["s"])] if t else [] for t in texts.to_pylist()], type=_ARROW)
 
     found = cut(df.select(*keys, F.explode(look(df[text])).alias("c")).select(*keys, "c.*").distinct())
     counts = [tuple(r) for r in found.groupBy("pii_type", "votes", "shape").count().collect()]
